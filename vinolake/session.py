@@ -21,3 +21,21 @@ def local(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> Spa
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``, wherever they run; once per application."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_vinolake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="vinolake-ship"))
+    with zipfile.ZipFile(folder / "vinolake_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(folder / "vinolake_package.zip"))
+    sc._vinolake_shipped = True
