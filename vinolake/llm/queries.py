@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vinolake.llm.boilerplate import found_content
 from vinolake.llm.glyph_repair import found_glyphs
+from vinolake.llm.residue import found_residue
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return found_residue(table(spark, sf, "probe_attempt"), table(spark, sf, "coverage"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_content(table(spark, sf, "raw_pages"))
 
@@ -20,5 +25,5 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_glyphs(table(spark, sf, "listing"))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
