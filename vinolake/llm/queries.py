@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vinolake.llm.boilerplate import found_content
 from vinolake.llm.glyph_repair import found_glyphs
 from vinolake.llm.residue import found_residue
+from vinolake.llm.subjects import found_subjects
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,5 +26,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_glyphs(table(spark, sf, "listing"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return found_subjects(table(spark, sf, "documents"), table(spark, sf, "doc_label"))
+
+
+QUERIES = {"p10_found": p10_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
