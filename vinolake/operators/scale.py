@@ -39,16 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], amount: Column | None = None, name: str = "rank", buckets: int = 64) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[Column], amount: Column | None = None, name: str = "rank", buckets: int = 64, bucket: Column | None = None) -> DataFrame:
     """Running total of ``amount`` before each row (or the 0-based rank) within ``group``, without one task per group.
 
-    The order is (bucket of the hash of ``order``, ``order``): deterministic and
-    arbitrary, which suits shuffling and packing. Each group is cut into
+    The order is (bucket, ``order``), the bucket being that of the hash of
+    ``order`` unless given: deterministic and arbitrary, which suits shuffling
+    and packing. Each group is cut into
     ``buckets`` buckets, ranked separately, and shifted by the buckets' totals,
     a table of at most groups x buckets rows that is aggregated before it moves.
     """
     amount = F.lit(1) if amount is None else amount
-    keyed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_a", amount.cast("long"))
+    keyed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket).withColumn("_a", amount.cast("long"))
     totals = keyed.groupBy(*group, "_b").agg(F.sum("_a").alias("_t"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_sb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
