@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vinolake.llm.boilerplate import found_content
 from vinolake.llm.glyph_repair import found_glyphs
+from vinolake.llm.mixing import mixed_documents, share_report
+from vinolake.llm.packing import fill_report, packed_documents
 from vinolake.llm.residue import found_residue
 from vinolake.llm.subjects import found_subjects
 
@@ -26,9 +28,35 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_glyphs(table(spark, sf, "listing"))
 
 
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(table(spark, sf, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(p8_pack(spark, sf))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed_documents(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_target")
+    return share_report(mixed_documents(table(spark, sf, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_subjects(table(spark, sf, "documents"), table(spark, sf, "doc_label"))
 
 
-QUERIES = {"p10_found": p10_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+}
 SQL: dict[str, str] = {}
