@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinolake.functions.glyphs import SUSPECT, repair
-from vinolake.operators.scale import BROADCAST_ROWS, small_side
+from vinolake.operators.scale import BROADCAST_ROWS, small_side, written
 
 
 def _long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -47,11 +47,12 @@ def repair_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     def first(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repair(t) for t in texts.tolist()], columns=["repaired", "open"])
 
-    once = suspects.withColumn("_r", first("value")).select("_key", "field", "value", "_r.repaired", "_r.open")
+    # Altered or undecided values only, written once and read by every later step.
+    once = written(suspects.withColumn("_r", first("value")).select("_key", "field", "value", "_r.repaired", "_r.open").where("repaired <> value or size(open) > 0"), "repaired")
     settled = once.where(F.size("open") == 0).drop("open")
     pending = once.where(F.size("open") > 0)
     readings = pending.select(F.explode("open").alias("word")).distinct()
-    proven = vocabulary_hits(values, readings)
+    proven = written(vocabulary_hits(values, readings), "proven")
     n = proven.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         # A bounded list of words goes into the workers' closure.
