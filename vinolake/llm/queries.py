@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vinolake.llm.boilerplate import found_content
 from vinolake.llm.glyph_repair import found_glyphs
 from vinolake.llm.mixing import mixed_documents, share_report
+from vinolake.llm.names import found_names
 from vinolake.llm.packing import fill_report, packed_documents
 from vinolake.llm.residue import found_residue
 from vinolake.llm.subjects import found_subjects
@@ -16,6 +17,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return found_names(table(spark, sf, "listing"), table(spark, sf, "shopify_product"), table(spark, sf, "producer_book"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_residue(table(spark, sf, "probe_attempt"), table(spark, sf, "coverage"))
 
@@ -50,6 +55,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
