@@ -25,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, per_core: int = 3, piece: int = 256 * 1024) -> DataFrame:
+    """``df`` in enough partitions to keep every core busy in a Python stage; as it is if it has them already.
+
+    A scan of few large files leaves cores idle where each row costs much CPU.
+    Small inputs get one partition per ``piece`` bytes of the optimizer's estimate.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    want = min(per_core * df.sparkSession.sparkContext.defaultParallelism, 1 + size // piece)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(int(want))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table that is written once and read several times."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
