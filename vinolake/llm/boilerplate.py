@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinolake.operators.scale import small_side, written
+from vinolake.operators.scale import small_side, spread, written
 
 OTHER, ITEM, DATED, PRICE = 0, 1, 2, 3
 #: A line in this share of a shop's pages is frame.
@@ -126,7 +126,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 rows.append((page, shop, [x[0] for x in ls], [len(x[1]) for x in ls], [x[2] for x in ls], [x[3] for x in ls], [line_kind(x[1]) for x in ls], [len(x[1].split()) for x in ls], [line_hash(x[1]) for x in ls], crumbs))
             yield pd.DataFrame(rows, columns=["page_id", "shop", "n", "len", "tags", "linked", "kind", "words", "hash", "crumb"])
 
-    return pages.mapInPandas(run, schema)
+    return spread(pages).mapInPandas(run, schema)
 
 
 def shop_frames(parsed: DataFrame) -> DataFrame:
