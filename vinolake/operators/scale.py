@@ -31,7 +31,7 @@ def spread(df: DataFrame, per_core: int = 3, piece: int = 256 * 1024) -> DataFra
     A scan of few large files leaves cores idle where each row costs much CPU.
     Small inputs get one partition per ``piece`` bytes of the optimizer's estimate.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     want = min(per_core * df.sparkSession.sparkContext.defaultParallelism, 1 + size // piece)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(int(want))
 
