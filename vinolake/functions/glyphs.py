@@ -49,6 +49,8 @@ INVISIBLE = {
 _TABLE = {**STYLED, **SPACES, **INVISIBLE}
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
+_ODD = re.compile("[^\x00-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u20a0-\u20bf]")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
 _LATIN = re.compile("[A-Za-zªºÀ-ɏḀ-ỿ]")
 
 
@@ -76,7 +78,7 @@ def to_latin(word: str) -> str | None:
 
 def composed(text: str) -> str:
     """Plain spaces, no invisible characters, plain style, one character per accented letter."""
-    if text.isascii():
+    if text.isascii() or not _ODD.search(text):
         return text
     return unicodedata.normalize("NFC", text.translate(_TABLE))
 
@@ -122,8 +124,7 @@ def fold(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text)
-    return "".join(c for c in text if not unicodedata.combining(c)).lower()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
 
 
 def skeleton(text: str | None) -> str:
@@ -132,7 +133,8 @@ def skeleton(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    text = composed(text)
-    if _FOREIGN.search(text):
-        text = _WORD.sub(lambda m: to_latin(m.group(0)) or m.group(0), text)
+    if _ODD.search(text):
+        text = composed(text)
+        if _FOREIGN.search(text):
+            text = _WORD.sub(lambda m: to_latin(m.group(0)) or m.group(0), text)
     return fold(text).replace("ß", "ss").replace("œ", "oe").replace("æ", "ae")

@@ -124,7 +124,11 @@ def bottle_ml(text: str | None) -> float | None:
 
     Of several stated volumes the last counts (marketing comes first, the format last).
     """
-    s = skeleton(text)
+    return skeleton_ml(skeleton(text))
+
+
+def skeleton_ml(s: str) -> float | None:
+    """``bottle_ml`` of a text that is a skeleton already."""
     if not s:
         return None
     found = None
