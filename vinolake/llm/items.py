@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinolake.functions.glyphs import skeleton
-from vinolake.llm.names import JUNK, MIN_LENGTH, NICKNAMES, RARE, RARE_SHARE, TYPES, Book, name_book, osa_within, segment_join, tokens, with_hits, word_counts, word_map
+from vinolake.llm.names import JUNK, MIN_LENGTH, NICKNAMES, RARE, RARE_SHARE, TYPES, Book, name_book, osa_within, segment_join, skeleton_tokens, tokens, with_hits, word_counts, word_map
 from vinolake.operators.components import components
-from vinolake.operators.scale import BROADCAST_ROWS, small_side, written
-from vinolake.operators.units import BOX_WORDS, COUNT_WORDS, bottle_ml
+from vinolake.operators.scale import BROADCAST_ROWS, small_side, spread, written
+from vinolake.operators.units import BOX_WORDS, COUNT_WORDS, skeleton_ml
 
 # Colour words; words of titles that name neither maker nor cuvee.
 COLOURS = {
@@ -99,14 +99,14 @@ def _parsed(listing: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, name, title, variant in zip(b["record_id"], b["name"], b["title"], b["variant_title"]):
-                t = f"{title or ''} | {variant or ''}"
-                s = skeleton(t)
-                ws = tokens(t)
-                ml = bottle_ml(variant) or bottle_ml(title) or 750.0
-                rows.append(("listing", i, tokens(name), ws, colour(ws), vintage(s), int(round(ml / 5) * 5), pack_size(s), gtin(t)))
+                a, b2 = skeleton(title), skeleton(variant)
+                s = f"{a} | {b2}"
+                ws = skeleton_tokens(s)
+                ml = skeleton_ml(b2) or skeleton_ml(a) or 750.0
+                rows.append(("listing", i, tokens(name), ws, colour(ws), vintage(s), int(round(ml / 5) * 5), pack_size(s), gtin(s)))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
-    return written(listing.mapInPandas(run, schema), "items")
+    return written(spread(listing).mapInPandas(run, schema), "items")
 
 
 def surname_lexicon(counts: DataFrame, names: Book) -> DataFrame:
@@ -117,7 +117,7 @@ def surname_lexicon(counts: DataFrame, names: Book) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def plain(words: pd.Series) -> pd.Series:
-        return pd.Series([w not in common and w not in firsts and not any(len(w) >= 5 and osa_within(w, f, 1) is not None for f in firsts) for w in words.tolist()])
+        return pd.Series([w not in common and w not in firsts and not any(abs(len(w) - len(f)) <= 1 and osa_within(w, f, 1) is not None for f in firsts) for w in words.tolist()])
 
     candidates = written(counts.where("n_name >= 1").where(plain("word")), "candidates")
     book = spark.createDataFrame([(w,) for w in sorted(known)], "word string")
@@ -155,26 +155,19 @@ def listing_items(listing: DataFrame, book: DataFrame) -> DataFrame:
 
     maker is '' where no word of name or title is a maker's, cuvee '' where the
     title has no word of its own, vintage 0 where none is stated, ml 750 where
-    no size is. Repeated rows are merged.
+    no size is. Repeated rows give repeated rows.
     """
-    rows = listing.select(F.col("listing_id").cast("long").alias("record_id"), F.when(F.lower("producer") == F.lower("shop"), None).otherwise(F.col("producer")).alias("name"), "title", "variant_title").where("record_id is not null").distinct()
+    rows = listing.select(F.col("listing_id").cast("long").alias("record_id"), F.when(F.lower("producer") == F.lower("shop"), None).otherwise(F.col("producer")).alias("name"), "title", "variant_title").where("record_id is not null")
     parsed = _parsed(rows)
     counts = written(word_counts(parsed), "words")
     names = name_book(book)
     lexicon = written(surname_lexicon(counts, names), "surnames")
     mapping = written(word_map(counts, lexicon), "map")
     shared = parsed.sparkSession.sparkContext.broadcast(names)
-    hits = with_hits(parsed.select("source", "record_id", "name", "title"), mapping)
-
-    def makers(batches):
-        for b in batches:
-            rows = []
-            for i, hs in zip(b["record_id"], b["hits"]):
-                rows.append((i, " ".join(sorted({h["entry"] for h in hs})), [h["pos"] for h in hs if h["field"] == 1]))
-            yield pd.DataFrame(rows, columns=["record_id", "maker", "at"])
-
-    made = hits.mapInPandas(makers, "record_id bigint, maker string, at array<int>")
-    known = written(parsed.drop("source", "name").join(made, "record_id"), "made")
+    hits = with_hits(parsed, mapping)
+    maker = F.array_join(F.array_sort(F.array_distinct("hits.entry")), " ")
+    at = F.transform(F.filter("hits", lambda h: h["field"] == 1), lambda h: h["pos"])
+    known = written(hits.select("record_id", "title", "colour", "vintage", "ml", "pack", "gtin", maker.alias("maker"), at.alias("at")), "made")
     pairs = known.where("maker <> ''").select("maker", F.explode(F.array_distinct(F.filter("title", lambda w: F.length(w) >= 4))).alias("word"))
     common = _common_words(pairs) | COMMON | TYPES | JUNK | frozenset(_COLOUR)
 
@@ -184,11 +177,12 @@ def listing_items(listing: DataFrame, book: DataFrame) -> DataFrame:
         out = []
         for ws, spots in zip(titles.tolist(), at.tolist()):
             spots = set(spots)
-            own = [w for k, w in enumerate(ws) if k not in spots and len(w) >= 4 and w.isalpha() and w not in common and not any(b.strength(w, f) for f in b.whole)]
+            own = [w for k, w in enumerate(ws) if k not in spots and len(w) >= 4 and w.isalpha() and w not in common and not b.first_like(w)]
             out.append(max(own, key=len) if own else "")
         return pd.Series(out)
 
-    return canonical_cuvees(known.select("record_id", "maker", cuvee("title", "at").alias("cuvee"), "colour", "vintage", "ml", "pack", "gtin"))
+    named = known.select("record_id", "maker", cuvee("title", "at").alias("cuvee"), "colour", "vintage", "ml", "pack", "gtin")
+    return canonical_cuvees(written(named, "named"))
 
 
 def observation_items(observation: DataFrame) -> DataFrame:
