@@ -104,7 +104,7 @@ def page(k, html):
     menu, foot = ["Home", "Wines", "Basket (0)"], ["Terms of sale", "Privacy", f"© {2020 + k % 4} shop"]
     side = ["Best sellers", f"{word()} Sons 2015 21,00 €", f"{word()} Sons 2016 22,00 €"]
     if not html:
-        lines = [*menu, f"Home > Grower {k}", *own, "You may also like", f"{word()} Daughters 2012", "12,00 €", *side, *foot]
+        lines = [*menu, f"Home > Grower {k}", *own, "You may also like", f"{word()} Daughters 2012", "99,00 €", *side, *foot]
     else:
         lines = ["<html><head><title>t</title></head><body>", *[f'<li><a href="/x">{m}</a></li>' for m in menu], f"<h1>{own[0]}</h1>", f"<span>{own[1]}</span>", f"<p>{own[2]}</p>", "<script>var x = 1;</script>", *[f"<li><a href='/y'>{s}</a></li>" for s in side], *[f"<p>{f}</p>" for f in foot], "</body></html>"]
     return "\n".join(lines), {n for n, x in enumerate(lines) if any(o in x for o in own) and ">" not in x.replace("<h1>", "").replace("</h1>", "").replace("<span>", "").replace("</span>", "").replace("<p>", "").replace("</p>", "")}
