@@ -102,7 +102,7 @@ def page(k, html):
     word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3)).capitalize()
     own = [f"Grower {word()} {word()}", f"{k + 10},00 €", f"The wine {word()} of {word()} is bright and needs {k} years of patience in the cellar."]
     menu, foot = ["Home", "Wines", "Basket (0)"], ["Terms of sale", "Privacy", f"© {2020 + k % 4} shop"]
-    side = ["Best sellers", f"{word()} Sons 2015 21,00 €", f"{word()} Sons 2016 22,00 €"]
+    side = ["Best sellers", f"{word()} Sons 2015 71,00 €", f"{word()} Sons 2016 72,00 €"]
     if not html:
         lines = [*menu, f"Home > Grower {k}", *own, "You may also like", f"{word()} Daughters 2012", "99,00 €", *side, *foot]
     else:
