@@ -213,3 +213,23 @@ def test_subjects(spark):
     assert subjects.found_subjects(table, labels.limit(0)).count() == 0
     assert subjects.found_subjects(table.limit(0), labels).count() == 0
     assert F
+
+
+# --- the ways beyond the bounds of broadcasts ------------------------------------
+
+
+def test_names_and_items_beyond_bounds(spark, monkeypatch):
+    monkeypatch.setattr(names, "MAP_ROWS", 0)
+    monkeypatch.setattr(names, "small_side", lambda df, *a: df)
+    monkeypatch.setattr(items, "small_side", lambda df, *a: df)
+    test_names(spark, "Tribarfalard, L.", None, 1)
+    test_names(spark, "Corhauorois", "Y", 4)
+    test_items(spark)
+
+
+def test_glyphs_beyond_bounds(spark, monkeypatch):
+    from vinolake.llm import glyph_repair
+
+    monkeypatch.setattr(glyph_repair, "BROADCAST_ROWS", 0)
+    test_glyphs(spark, "Маѕ", "Mas")
+    test_glyphs(spark, "Мускат", None)
