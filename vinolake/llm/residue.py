@@ -117,7 +117,7 @@ def corpus_passages(records: DataFrame) -> DataFrame:
                     c = seen.setdefault(p, [0, 0])
                     c[0] += 1
                     c[1] += beside
-            yield pd.DataFrame({"passage": list(seen), "n": pd.Series([c[0] for c in seen.values()], dtype="int64"), "beside": pd.Series([c[1] for c in seen.values()], dtype="int64")})
+            yield pd.DataFrame({"passage": pd.Series(list(seen), dtype=object), "n": pd.Series([c[0] for c in seen.values()], dtype="int64"), "beside": pd.Series([c[1] for c in seen.values()], dtype="int64")})
 
     return records.mapInPandas(count, "passage string, n bigint, beside bigint").groupBy("passage").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside"))
 
@@ -192,8 +192,8 @@ def residue_records(records: DataFrame) -> DataFrame:
             return any(bad) and all(b or score(p) > CLEAR for b, p in zip(bad, said))
 
         for b in batches:
-            keep = [residue(s, t) for s, t in zip(b["source"], b["text"])]
-            yield b.loc[keep, ["source", "record_id"]]
+            kept = [(s, i) for s, i, t in zip(b["source"], b["record_id"], b["text"]) if residue(s, t)]
+            yield pd.DataFrame({"source": pd.Series([s for s, _ in kept], dtype=object), "record_id": pd.Series([i for _, i in kept], dtype="int64")})
 
     return records.mapInPandas(judge, "source string, record_id bigint").distinct()
 
