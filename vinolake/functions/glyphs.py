@@ -50,6 +50,8 @@ _TABLE = {**STYLED, **SPACES, **INVISIBLE}
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile("[^\x00-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u20a0-\u20bf]")
+_LATIN_MARKS = re.compile("[\u0300-\u036f]+")
+_RARE_RANGE = re.compile("[\u0483-\u1fff\u20d0-\U0001ffff]")
 _MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
 _LATIN = re.compile("[A-Za-zªºÀ-ɏḀ-ỿ]")
 
@@ -124,7 +126,10 @@ def fold(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
+    text = _LATIN_MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if not text.isascii() and _RARE_RANGE.search(text):
+        text = _MARKS.sub("", text)
+    return text.lower()
 
 
 def skeleton(text: str | None) -> str:
