@@ -18,7 +18,7 @@ import re
 from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,9 @@ from vinolake.operators.scale import small_side, spread, written
 EDITS = 1
 #: Shortest word that is looked up.
 MIN_LENGTH = 6
-#: A word that is not in the lexicon is a misspelling only if it is rare: at most this
-#: often, or at most this share of the entry's own frequency.
+#: A word that is not in the lexicon is a sure misspelling if it is rare: at most this
+#: often, or at most this share of the entry's own frequency. Of a more frequent one
+#: each record needs evidence of its own (``Book.resolve``) or the spelling needs it.
 RARE, RARE_SHARE = 2, 0.12
 #: Entries of a word map that go to the workers as a dictionary; larger maps are joined.
 MAP_ROWS = 150_000
@@ -40,6 +41,7 @@ MAP_ROWS = 150_000
 TYPES = frozenset("domaine dom dne mas cave chateau cht chat ch maison mais mson weingut weing wgt".split())
 JUNK = frozenset("la le les vigneron vignerons vigneronne vignoble vignobles earl scea gaec sarl vins vin wines nature fils filles frere freres frs pere soeurs et and und van von viticulteur nv aoc bio".split())
 NICKNAMES = {"babeth": "elisabeth", "lisbeth": "elisabeth", "margot": "marguerite", "guy": "guillaume", "cathy": "catherine", "nico": "nicolas", "jf": "jean francois", "fredo": "frederic", "titi": "therese"}
+FORMS = {"dom": "domaine", "dne": "domaine", "cht": "chateau", "chat": "chateau", "ch": "chateau", "mais": "maison", "mson": "maison", "weing": "weingut", "wgt": "weingut"}
 # End of fixed values.
 
 _UNIT = re.compile(r"\d[\d.,]*\s*(?:[xX]\s*\d[\d.,]*\s*)?(?:%|°|ml|cl|dl|hl|ha|ex|fl\.?\s*oz|fl|oz|bt|mois|litres?|liters?|ltr|centilitres?|m|l)?(?![a-z])\.?")
@@ -219,29 +221,53 @@ def word_map(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return good.groupBy("word").agg(best.alias("b")).select("word", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
 
 
+def near_words(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, entry, distance, behind): every lexicon entry a corpus word may stand for; entries stand for themselves.
+
+    Nothing within one edit is left out. behind says how frequency speaks: 0 for
+    the nearest, most frequent entry, 1 for its rivals, and 2 more where the word
+    is not rare beside the entry.
+    """
+    found = segment_join(counts, lexicon)
+    entries = lexicon.select(F.col("word").alias("entry")).distinct()
+    weight = entries.join(counts.select(F.col("word").alias("entry"), F.col("n").alias("n_entry")), "entry", "left")
+    near = found.join(counts, "word").join(small_side(weight), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry"))), "word", "left")
+    good = near.where((F.col("distance") == 0) | F.col("is_entry").isNull())
+    often = (F.col("distance") > 0) & (F.col("n") > RARE) & (F.col("n") > RARE_SHARE * F.coalesce("n_entry", F.lit(0)))
+    first = Window.partitionBy("word").orderBy("distance", F.desc(F.coalesce("n_entry", F.lit(0))), "entry")
+    behind = F.when(F.row_number().over(first) == 1, 0).otherwise(1) + F.when(often, 2).otherwise(0)
+    return good.select("word", "entry", "distance", behind.cast("int").alias("behind"))
+
+
 def with_hits(tok: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``tok`` (source, record_id, name, title and any other columns) with hits: array of (field, pos, entry, distance), field 0 the name and 1 the title.
+    """``tok`` (source, record_id, name, title and any other columns) with hits: array of (field, pos, entry, distance, behind), field 0 the name and 1 the title.
 
-    A map of bounded size goes to the workers; a larger one is joined on the words.
+    A word may have several entries in ``mapping``; behind is 0 where it has no such column. A map of bounded size goes to the workers; a larger one is joined on the words.
     """
+    hit = "array<struct<field:int,pos:int,entry:string,distance:int,behind:int>>"
+    if "behind" not in mapping.columns:
+        mapping = mapping.withColumn("behind", F.lit(0))
     if mapping.limit(MAP_ROWS + 1).count() <= MAP_ROWS:
-        known = tok.sparkSession.sparkContext.broadcast({r.word: (r.entry, r.distance) for r in mapping.toLocalIterator()})
+        entries: dict[str, list[tuple[str, int, int]]] = {}
+        for r in mapping.toLocalIterator():
+            entries.setdefault(r.word, []).append((r.entry, r.distance, r.behind))
+        known = tok.sparkSession.sparkContext.broadcast(entries)
 
         def run(batches):
             m = known.value
             for b in batches:
                 hits = []
                 for n, t in zip(b["name"], b["title"]):
-                    hits.append([(f, k, *m[w]) for f, ws in ((0, n), (1, t)) for k, w in enumerate(ws) if w in m])
+                    hits.append([(f, k, *x) for f, ws in ((0, n), (1, t)) for k, w in enumerate(ws) if w in m for x in m[w]])
                 yield b.astype({c: object for c in b.columns if b[c].dtype == "str" or b[c].dtype == "string"}).assign(hits=hits)
 
-        schema = T.StructType([*tok.schema.fields, *T.StructType.fromDDL("hits array<struct<field:int,pos:int,entry:string,distance:int>>").fields])
+        schema = T.StructType([*tok.schema.fields, *T.StructType.fromDDL(f"hits {hit}").fields])
         return tok.mapInPandas(run, schema)
     parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("name").alias("ws")), F.struct(F.lit(1).alias("field"), F.col("title").alias("ws"))))
     keyed = tok.withColumn("_h", F.xxhash64("source", "record_id", "name", "title"))
     words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word")).where(F.length("word") >= MIN_LENGTH)
-    hits = words.distinct().join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance")).alias("hits"))
-    return keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<field:int,pos:int,entry:string,distance:int>>")))
+    hits = words.distinct().join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance", "behind")).alias("hits"))
+    return keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast(hit)))
 
 
 class Book:
@@ -253,11 +279,13 @@ class Book:
         leading = Counter(w for _, ws, _ in bare for w in set(ws[:-1]))
         self.firsts = {w for w, n in leading.items() if n >= 3} | set("jean francois".split())
         self.estates: list[tuple[int, tuple[str, ...], str]] = []
-        for i, ws, _ in bare:
+        self.forms: list[frozenset[str]] = []
+        for (i, ws, _), (_, full) in zip(bare, parsed):
             first = " ".join(w for w in ws[:-1] if w in self.firsts)
             last = tuple(w for k, w in enumerate(ws) if k == len(ws) - 1 or w not in self.firsts)
             if last:
                 self.estates.append((i, last, first))
+                self.forms.append(frozenset(FORMS.get(w, w) for w in full if w in TYPES))
         self.by: dict[str, list[int]] = defaultdict(list)
         for k, (_, last, _) in enumerate(self.estates):
             for w in set(last):
@@ -310,50 +338,93 @@ class Book:
                 break
         return out
 
-    def resolve(self, name: list[str], title: list[str], hits: list[tuple[int, int, str, int]]) -> tuple[int, int] | None:
-        """(producer_id, edits) of the estate a record means, or None."""
+    def signs(self, name: list[str], title: list[str], at: dict, words: set[str]) -> list[str]:
+        return [x for f, ws in ((0, name), (1, title)) for x in self.evidence(ws, [h[0] for w in words for h in at[f].get(w, [])], f == 0)]
+
+    def agreed(self, e: int, cost: int, signs: list[str]) -> tuple[int, int, int] | None:
+        """(rank, cost, estate) if the signs agree with the estate or it needs none."""
+        _, last, first = self.estates[e]
+        if len(last) > 1:
+            return (0, cost, e)
+        if not first:
+            return None if any(len(w) >= 3 for w in signs) else (1, cost, e)
+        if signs:
+            long = [w for w in signs if len(w) > 1]
+            fits = [self.strength(w, first) for w in signs]
+            return (-max(fits), cost, e) if max(fits) >= 2 or max(fits) == 1 and not long else None
+        return (1, cost, e) if sum(len(self.estates[x][1]) == 1 for x in self.by[last[0]]) == 1 else None
+
+    def formed(self, e: int, name: list[str], title: list[str], at: dict) -> bool:
+        """Whether the estate's own legal form stands right beside its surname."""
+        word = self.estates[e][1][0]
+        return any(0 <= j < len(ws) and FORMS.get(ws[j], ws[j]) in self.forms[e] for f, ws in ((0, name), (1, title)) for k, *_ in at[f].get(word, []) for j in (k - 1, k + 1))
+
+    @staticmethod
+    def best(agreed: list[tuple[int, int, int]]) -> int | None:
+        agreed.sort(key=lambda x: (x[1] // 10, x[0], x[1]))
+        if not agreed or len(agreed) > 1 and agreed[0][:2] == agreed[1][:2]:
+            return None  # none fits, or two estates fit equally well
+        return agreed[0][2]
+
+    def resolve(self, name: list[str], title: list[str], hits: list[tuple]) -> tuple[int, int] | None:
+        """(producer_id, edits) of the estate a record means by its own evidence, or None. Hits are (field, pos, entry, distance[, behind])."""
+        return self.resolve_noted(name, title, hits)[0]
+
+    def resolve_noted(self, name: list[str], title: list[str], hits: list[tuple]) -> tuple[tuple[int, int] | None, list[tuple[str, int, int, int]]]:
+        """``resolve``, and what the record says of each frequent misspelling in it: (word, verdict, producer_id or -1, edits).
+
+        A frequent misspelling counts only with a first name, the partner's surname
+        or the legal form that the estate bears. The verdict is 1 if the record so
+        shows that it stands for the estate, -1 if it shows another maker, 0 if it
+        is open; an open record has the only estate it can mean.
+        """
         if not hits:
-            return None
-        at: dict[int, dict[str, list[tuple[int, int]]]] = {0: defaultdict(list), 1: defaultdict(list)}
-        for f, k, w, d in hits:
-            at[f][w].append((k, d))
+            return None, []
+        at: dict[int, dict[str, list[tuple[int, int, int]]]] = {0: defaultdict(list), 1: defaultdict(list)}
+        for f, k, w, d, *behind in hits:
+            at[f][w].append((k, d, behind[0] if behind else 0))
         found: dict[int, int] = {}
         for f in (0, 1):
             for w in at[f]:
                 for e in self.by[w]:
                     last = self.estates[e][1]
                     if all(x in at[f] for x in last):
-                        cost = sum(min(d for _, d in at[f][x]) for x in last) * 10 + f - 100 * (len(last) - 1)
+                        nearest = [min(h[1:] for h in at[f][x]) for x in last]
+                        cost = sum(d for d, _ in nearest) * 10 + f + 2 * max(b for _, b in nearest) - 100 * (len(last) - 1)
                         found[e] = min(found.get(e, cost), cost)
         if not found:
-            return None
-        signs: list[str] = []
-        words = {x for e in found for x in self.estates[e][1]}
+            return None, []
+        often = {w for f in (0, 1) for w, hs in at[f].items() if min(h[2] for h in hs) >= 2} - {w for f in (0, 1) for w, hs in at[f].items() if min(h[2] for h in hs) < 2}
+        weak = {e for e in found if len(self.estates[e][1]) == 1 and self.estates[e][1][0] in often}
+        sure = [e for e in found if e not in weak]
+        signs = self.signs(name, title, at, {x for e in sure for x in self.estates[e][1]})
+        chosen = self.best([a for e in sure if (a := self.agreed(e, found[e], signs))])
+        spelt: dict[str, set[str]] = defaultdict(set)
         for f, ws in ((0, name), (1, title)):
-            signs += self.evidence(ws, [k for w in words for k, _ in at[f].get(w, [])], f == 0)
-        agreed = []
-        for e, cost in found.items():
-            _, last, first = self.estates[e]
-            rivals = [x for x in self.by[last[0]] if len(self.estates[x][1]) == 1]
-            if len(last) > 1:
-                agreed.append((0, cost, e))
-            elif not first:
-                if not any(len(w) >= 3 for w in signs):
-                    agreed.append((1, cost, e))
-            elif signs:
-                long = [w for w in signs if len(w) > 1]
-                fits = [self.strength(w, first) for w in signs]
-                if max(fits) >= 2 or max(fits) == 1 and not long:
-                    agreed.append((-max(fits), cost, e))
-            elif len(rivals) == 1:
-                agreed.append((1, cost, e))
-        if not agreed:
-            return None
-        agreed.sort(key=lambda x: (x[1] // 10, x[0], x[1]))
-        if len(agreed) > 1 and agreed[0][:2] == agreed[1][:2]:
-            return None  # two estates fit equally well
-        e = agreed[0][2]
-        return self.estates[e][0], found[e]
+            for w, hs in at[f].items():
+                for k, _, b in hs:
+                    if b >= 2:
+                        spelt[w].add(ws[k])
+        if not spelt:
+            return (None if chosen is None else (self.estates[chosen][0], found[chosen])), []
+        proven, open_, verdict = [], [], {w: 0 for w in spelt}
+        if chosen is not None:
+            verdict = {w: 1 if w in self.estates[chosen][1] else -1 for w in spelt}
+        else:
+            for w in sorted({self.estates[e][1][0] for e in weak}):
+                own = self.signs(name, title, at, {w})
+                fits = [(e, a) for e in self.by[w] if e in weak and (a := self.agreed(e, found[e], own))]
+                shown = [a for e, a in fits if own and a[0] < 0 or not self.estates[e][2] and self.formed(e, name, title, at)]
+                verdict[w] = 1 if shown else 0 if fits or not own else -1
+                proven += shown
+                open_ += [a for _, a in fits] if not shown else []
+            chosen = self.best(proven)
+        left = self.best(open_) if chosen is None and not sure and not proven else None
+        notes = []
+        for w, words in spelt.items():
+            mine = left is not None and self.estates[left][1][0] == w
+            notes += [(x, verdict[w], self.estates[left][0] if mine else -1, found[left] if mine else 0) for x in sorted(words)]
+        return (None if chosen is None else (self.estates[chosen][0], found[chosen])), notes
 
 
 def name_book(book: DataFrame, max_rows: int = 200_000) -> Book:
@@ -376,17 +447,27 @@ def link_names(records: DataFrame, book: DataFrame) -> DataFrame:
     lexicon = spark.createDataFrame([(w,) for w in names.surnames()], "word string")
     tok = tokenized(records)
     counts = written(word_counts(tok), "words")
-    mapping = written(word_map(counts, lexicon), "map")
+    mapping = written(near_words(counts, lexicon), "map")
     shared = spark.sparkContext.broadcast(names)
 
     def run(batches):
         b0 = shared.value
         for b in batches:
-            got = [b0.resolve(list(n), list(t), [(h["field"], h["pos"], h["entry"], h["distance"]) for h in hs]) for n, t, hs in zip(b["name"], b["title"], b["hits"])]
-            kept = [(s, i, *g) for s, i, g in zip(b["source"], b["record_id"], got) if g is not None]
-            yield pd.DataFrame({"source": pd.Series([r[0] for r in kept], dtype=object), **{c: pd.Series([r[k] for r in kept], dtype="int64") for k, c in ((1, "record_id"), (2, "producer_id"))}, "edits": pd.Series([r[3] for r in kept], dtype="int32")})
-
-    linked = with_hits(tok, mapping).mapInPandas(run, "source string, record_id bigint, producer_id bigint, edits int")
+            rows = []
+            for s, i, n, t, hs in zip(b["source"], b["record_id"], b["name"], b["title"], b["hits"]):
+                got, notes = b0.resolve_noted(list(n), list(t), [(h["field"], h["pos"], h["entry"], h["distance"], h["behind"]) for h in hs])
+                if got is not None:
+                    rows.append((s, i, *got, "", 1))
+                rows += [(s, i, p, d, w, v) for w, v, p, d in notes]
+            out = {c: pd.Series([r[k] for r in rows], dtype=t) for k, (c, t) in enumerate((("source", object), ("record_id", "int64"), ("producer_id", "int64"), ("edits", "int32"), ("word", object), ("verdict", "int32")))}
+            yield pd.DataFrame(out)
+
+    linked = written(with_hits(tok, mapping).mapInPandas(run, "source string, record_id bigint, producer_id bigint, edits int, word string, verdict int"), "linked")
+    # An open record follows the others that hold its spelling: more distinct records for the estate than against it, or hardly any at all.
+    spelling = linked.where("word <> ''").groupBy("word", "source", "record_id").agg(F.max("verdict").alias("v")).groupBy("word").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    trusted = spelling.where((F.col("v") > 0) | (F.col("v") == 0) & (F.col("n") <= RARE)).select("word")
+    followed = linked.where("word <> '' and verdict = 0 and producer_id >= 0").join(small_side(trusted), "word", "left_semi")
+    linked = linked.where("word = ''").unionByName(followed)
     # A record delivered with different texts is decided by its best reading.
     return linked.groupBy("source", "record_id").agg(F.min(F.struct("edits", "producer_id")).alias("b")).select("source", "record_id", F.col("b.producer_id").alias("producer_id"))
 
