@@ -2,7 +2,7 @@
 
 import pytest
 
-from vinolake.llm import names
+from vinolake.llm import names, residue
 
 RECORDS = "source string, record_id bigint, shop string, name string, title string"
 
@@ -20,3 +20,19 @@ def test_frequent_misspelling_is_decided_by_evidence(spark):
     cuvee = [(30 + k, "Hélène Corhaurois", "Les Brenonelle blanc") for k in range(4)] + [(40, None, "Brenonelle 2019"), (41, "Nicolas Bréfonelle", "x")]
     want = {(k, 2) for k in range(5)} | {(5, 1), (7, 4), (8, 4), (9, 4), (10, 4), (20, 2), (21, 4), (41, 3)} | {(30 + k, 5) for k in range(4)}
     assert linked(spark, hot + exact + cuvee, book) == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("ok __status__", True), ("__status__", True), ("__row.status__", True), ("ok __STATUS__", True), ("ok [status here]", True), ("ok @model.status", True), ("ok @MODEL.status", True), ("ok", False), ("ok [click here]", False), ("ok, mail info@model.com", False), ("parse error: snake_case__name", False),
+    ],
+)
+def test_slots_in_either_case(text, want):
+    assert bool(residue.PLACEHOLDER.search(text)) is want
+
+
+def test_slot_before_crawler_status(spark):
+    rows = [("coverage", k, x) for k, x in enumerate(["ok __status__", "__state__", "ok", "blocked __outcome__", "truncated"])] + [("probe_attempt", 9, "Il reste 4 bouteilles de ce rouge. __title__")]
+    got = {(r.source, r.record_id) for r in residue.residue_records(spark.createDataFrame(rows, "source string, record_id bigint, text string")).collect()}
+    assert got == {("coverage", 0), ("coverage", 1), ("coverage", 3), ("probe_attempt", 9)}

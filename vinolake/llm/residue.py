@@ -31,12 +31,13 @@ FOLLOWS = 3
 #: A passage whose log-likelihood ratio is below this is real content and clears its record.
 CLEAR = -2.0
 
-# Template syntaxes; phrases of error pages, notices and filler that
+# Template syntaxes in either case (not "[click here]" or an address at
+# model.com); phrases of error pages, notices and filler that
 # are trusted as positives; statuses and words of the crawler itself.
 PLACEHOLDER = re.compile(
     r"\{\{\s*[\w.$| ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|#\{\s*[\w.]+\s*\}|\{\$[\w.>-]+\}|<%[=-]?\s*[\w.]+\s*%>|%%\s*[\w.]+\s*%%"
-    r"|%\([\w.]+\)[sd]|\[\[\s*[\w.]+\s*\]\]|__[A-Z][A-Z0-9_.]*__|@Model\.\w[\w.]*|\[[\w. ]+ HERE\]|&lt;insert [\w. ]+&gt;|<insert [\w. ]+>|\{%\s*\w[^%]*%\}",
-    re.A,
+    r"|%\([\w.]+\)[sd]|\[\[\s*[\w.]+\s*\]\]|__[A-Z][A-Z0-9_.]*__|(?<![\w.])@Model\.\w[\w.]*|\[(?!(?:click|tap|press|read|see|find|look|order|buy|more|start)\b)[\w. ]+ HERE\]|&lt;insert [\w. ]+&gt;|<insert [\w. ]+>|\{%\s*\w[^%]*%\}",
+    re.A | re.I,
 )
 #: Values that are nothing but an unfilled slot.
 BARE_SLOT = re.compile(r"^\s*(\{\w*\}|%[sd]|\[object object\]|undefined|nan|null|none( none)*|tbd|todo|n/?a \?+)\s*$", re.I)
