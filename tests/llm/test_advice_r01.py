@@ -36,3 +36,11 @@ def test_slot_before_crawler_status(spark):
     rows = [("coverage", k, x) for k, x in enumerate(["ok __status__", "__state__", "ok", "blocked __outcome__", "truncated"])] + [("probe_attempt", 9, "Il reste 4 bouteilles de ce rouge. __title__")]
     got = {(r.source, r.record_id) for r in residue.residue_records(spark.createDataFrame(rows, "source string, record_id bigint, text string")).collect()}
     assert got == {("coverage", 0), ("coverage", 1), ("coverage", 3), ("probe_attempt", 9)}
+
+
+def test_short_surnames(spark):
+    book = [(1, "Domaine Karel Roux"), (2, "Château Blanc"), (3, "Mas Hélène Ney"), (4, "Cave Ney-Corhaurois"), (5, "Raphaël Ostlaurez"), (6, "Karel Zelmoraud"), (7, "Karel Rimhaurez"), (8, "Hélène Fonjolinet"), (9, "Hélène Gosmorieux")]
+    rows = [
+        (1, "K. Roux", "x"), (2, "Roux", "x"), (3, "Dominique Roux", "x"), (4, None, "Karel Roux rouge 2019"), (5, None, "Les Terres roux 2019"), (6, None, "Chat. Blanc 2020"), (7, None, "Sancerre blanc 2020"), (8, "Ney Hélène", None), (9, None, "Corhaurois et Ney rosé"), (10, "Raphaël Ostlaurez", "Sancerre blanc"), (11, None, "Ostlaurez Raphaël Blanc"),
+    ]
+    assert linked(spark, rows, book) == {(1, 1), (2, 1), (4, 1), (6, 2), (8, 3), (9, 4), (10, 5), (11, 5)}

@@ -27,7 +27,7 @@ from vinolake.operators.scale import small_side, spread, written
 
 #: Edits (a transposition counts as one) between a word and its lexicon entry.
 EDITS = 1
-#: Shortest word that is looked up.
+#: Shortest word that is looked up approximately; shorter ones only stand for themselves.
 MIN_LENGTH = 6
 #: A word that is not in the lexicon is a sure misspelling if it is rare: at most this
 #: often, or at most this share of the entry's own frequency. Of a more frequent one
@@ -224,7 +224,8 @@ def word_map(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
 def near_words(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, entry, distance, behind): every lexicon entry a corpus word may stand for; entries stand for themselves.
 
-    Nothing within one edit is left out. behind says how frequency speaks: 0 for
+    Words shorter than MIN_LENGTH, which ``counts`` does not hold, match exactly;
+    of the others nothing within one edit is left out. behind says how frequency speaks: 0 for
     the nearest, most frequent entry, 1 for its rivals, and 2 more where the word
     is not rare beside the entry.
     """
@@ -236,7 +237,8 @@ def near_words(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     often = (F.col("distance") > 0) & (F.col("n") > RARE) & (F.col("n") > RARE_SHARE * F.coalesce("n_entry", F.lit(0)))
     first = Window.partitionBy("word").orderBy("distance", F.desc(F.coalesce("n_entry", F.lit(0))), "entry")
     behind = F.when(F.row_number().over(first) == 1, 0).otherwise(1) + F.when(often, 2).otherwise(0)
-    return good.select("word", "entry", "distance", behind.cast("int").alias("behind"))
+    short = entries.where(F.length("entry") < MIN_LENGTH).select(F.col("entry").alias("word"), "entry", F.lit(0).alias("distance"), F.lit(0).alias("behind"))
+    return good.select("word", "entry", "distance", behind.cast("int").alias("behind")).unionByName(short)
 
 
 def with_hits(tok: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def with_hits(tok: DataFrame, mapping: DataFrame) -> DataFrame:
         return tok.mapInPandas(run, schema)
     parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("name").alias("ws")), F.struct(F.lit(1).alias("field"), F.col("title").alias("ws"))))
     keyed = tok.withColumn("_h", F.xxhash64("source", "record_id", "name", "title"))
-    words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word")).where(F.length("word") >= MIN_LENGTH)
+    words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word"))
     hits = words.distinct().join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance", "behind")).alias("hits"))
     return keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast(hit)))
 
@@ -359,6 +361,18 @@ class Book:
         word = self.estates[e][1][0]
         return any(0 <= j < len(ws) and FORMS.get(ws[j], ws[j]) in self.forms[e] for f, ws in ((0, name), (1, title)) for k, *_ in at[f].get(word, []) for j in (k - 1, k + 1))
 
+    def vague(self, e: int, at: dict) -> bool:
+        """Whether the estate has only short surnames and they stand in no name field: they may be any words of a title."""
+        last = self.estates[e][1]
+        return all(len(w) < MIN_LENGTH for w in last) and not all(w in at[0] for w in last)
+
+    def placed(self, e: int, name: list[str], title: list[str], at: dict) -> bool:
+        """Whether the estate's legal form, or its next surname, stands right beside a surname."""
+        last = self.estates[e][1]
+        if len(last) == 1:
+            return self.formed(e, name, title, at)
+        return all(any(abs(j - k) <= 2 for j, *_ in at[1].get(a, []) for k, *_ in at[1].get(b, [])) for a, b in zip(last, last[1:]))
+
     @staticmethod
     def best(agreed: list[tuple[int, int, int]]) -> int | None:
         agreed.sort(key=lambda x: (x[1] // 10, x[0], x[1]))
@@ -390,15 +404,21 @@ class Book:
                     last = self.estates[e][1]
                     if all(x in at[f] for x in last):
                         nearest = [min(h[1:] for h in at[f][x]) for x in last]
-                        cost = sum(d for d, _ in nearest) * 10 + f + 2 * max(b for _, b in nearest) - 100 * (len(last) - 1)
+                        cost = sum(d for d, _ in nearest) * 10 + f + 2 * max(b for _, b in nearest) + any(len(x) < MIN_LENGTH for x in last) - 100 * (len(last) - 1)
                         found[e] = min(found.get(e, cost), cost)
         if not found:
             return None, []
         often = {w for f in (0, 1) for w, hs in at[f].items() if min(h[2] for h in hs) >= 2} - {w for f in (0, 1) for w, hs in at[f].items() if min(h[2] for h in hs) < 2}
         weak = {e for e in found if len(self.estates[e][1]) == 1 and self.estates[e][1][0] in often}
         sure = [e for e in found if e not in weak]
-        signs = self.signs(name, title, at, {x for e in sure for x in self.estates[e][1]})
-        chosen = self.best([a for e in sure if (a := self.agreed(e, found[e], signs))])
+        vague = {e for e in sure if self.vague(e, at)}
+        signs = self.signs(name, title, at, {x for e in sure if e not in vague for x in self.estates[e][1]})
+        fit = [a for e in sure if e not in vague and (a := self.agreed(e, found[e], signs))]
+        for e in vague:
+            a = self.agreed(e, found[e], self.signs(name, title, at, set(self.estates[e][1])))
+            if a and (a[0] < 0 or self.placed(e, name, title, at)):
+                fit.append(a)
+        chosen = self.best(fit)
         spelt: dict[str, set[str]] = defaultdict(set)
         for f, ws in ((0, name), (1, title)):
             for w, hs in at[f].items():
@@ -419,7 +439,7 @@ class Book:
                 proven += shown
                 open_ += [a for _, a in fits] if not shown else []
             chosen = self.best(proven)
-        left = self.best(open_) if chosen is None and not sure and not proven else None
+        left = self.best(open_) if chosen is None and len(sure) == len(vague) and not proven else None
         notes = []
         for w, words in spelt.items():
             mine = left is not None and self.estates[left][1][0] == w
