@@ -2,6 +2,7 @@
 
 import pytest
 
+from vinolake.llm import boilerplate as bp
 from vinolake.llm import names, residue
 
 RECORDS = "source string, record_id bigint, shop string, name string, title string"
@@ -44,3 +45,14 @@ def test_short_surnames(spark):
         (1, "K. Roux", "x"), (2, "Roux", "x"), (3, "Dominique Roux", "x"), (4, None, "Karel Roux rouge 2019"), (5, None, "Les Terres roux 2019"), (6, None, "Chat. Blanc 2020"), (7, None, "Sancerre blanc 2020"), (8, "Ney Hélène", None), (9, None, "Corhaurois et Ney rosé"), (10, "Raphaël Ostlaurez", "Sancerre blanc"), (11, None, "Ostlaurez Raphaël Blanc"),
     ]
     assert linked(spark, rows, book) == {(1, 1), (2, 1), (4, 1), (6, 2), (8, 3), (9, 4), (10, 5), (11, 5)}
+
+
+def test_repeated_facts_are_content(spark):
+    letters = "abcdefghijkl"
+    rows = []
+    for k, c in enumerate(letters):  # a shop of one grape and one size
+        rows.append((k, "s", "\n".join(["Home", "Wines", f"Cuvee {c * 6} of grower {c * 4}", "Gamay", "75 cl", "Bio", f"The wine {c * 5} is bright and needs patience in the cellar of {c * 7}.", "Share this page", "Terms of sale", "Privacy"])))
+    got = {}
+    for r in bp.main_content(spark.createDataFrame(rows, "page_id bigint, shop string, body string")).collect():
+        got.setdefault(r.page_id, set()).add(r.line_no)
+    assert got == {k: {2, 3, 4, 5, 6} for k in range(len(letters))}

@@ -29,6 +29,9 @@ FRAME_SHARE = 0.3
 EDGE_SHARE, EDGE_RATE = 0.15, 0.4
 #: Fewest pages a line must be on to count as repeated at all.
 FRAME_PAGES = 3
+#: A line of so few words may be a fact: it is frame only if it stands beside frame, or at
+#: the top or foot of the page, in this share of its places.
+FACT_WORDS, PLACE_RATE = 3, 0.6
 #: Where between the two cluster centres the cut lies.
 CUT = 0.15
 
@@ -39,6 +42,7 @@ _PRICE = re.compile(rf"^{_MONEY}$", re.I)
 _ITEM = re.compile(rf"^\D{{3,80}}?.{{0,12}}\s{_MONEY}$", re.I)
 _DATED = re.compile(r"^\D{3,80}\s(?:19|20)\d\d$")
 _CRUMB = re.compile(r"\s+[>»›/|→]\s+")
+_SHARE = re.compile(r"\b(?:share|partager?|partagez|teilen|delen|deel)\b", re.I)
 _SILENT = {"script", "style", "noscript", "template", "title", "svg"}
 
 
@@ -115,7 +119,7 @@ def line_hash(text: str) -> int:
 
 def _parsed(pages: DataFrame) -> DataFrame:
     """Per page the parallel arrays of its text lines, and crumb: the hash of a breadcrumb's first segment or 0."""
-    schema = "page_id bigint, shop string, n array<int>, len array<int>, tags array<int>, linked array<int>, kind array<int>, words array<int>, hash array<bigint>, crumb array<bigint>"
+    schema = "page_id bigint, shop string, n array<int>, len array<int>, tags array<int>, linked array<int>, kind array<int>, words array<int>, hash array<bigint>, crumb array<bigint>, fact array<int>"
 
     def run(batches):
         for b in batches:
@@ -123,12 +127,34 @@ def _parsed(pages: DataFrame) -> DataFrame:
             for page, shop, body in zip(b["page_id"], b["shop"], b["body"]):
                 ls = page_lines(body)
                 crumbs = [line_hash(_CRUMB.split(t)[0]) if _CRUMB.search(t) else 0 for _, t, _, _ in ls]
-                rows.append((page, shop, [x[0] for x in ls], [len(x[1]) for x in ls], [x[2] for x in ls], [x[3] for x in ls], [line_kind(x[1]) for x in ls], [len(x[1].split()) for x in ls], [line_hash(x[1]) for x in ls], crumbs))
-            yield pd.DataFrame(rows, columns=["page_id", "shop", "n", "len", "tags", "linked", "kind", "words", "hash", "crumb"])
+                rows.append((page, shop, [x[0] for x in ls], [len(x[1]) for x in ls], [x[2] for x in ls], [x[3] for x in ls], [line_kind(x[1]) for x in ls], [len(x[1].split()) for x in ls], [line_hash(x[1]) for x in ls], crumbs, [int(len(x[1].split()) <= FACT_WORDS and not _SHARE.search(x[1])) for x in ls]))
+            yield pd.DataFrame(rows, columns=["page_id", "shop", "n", "len", "tags", "linked", "kind", "words", "hash", "crumb", "fact"])
 
     return spread(pages).mapInPandas(run, schema)
 
 
+def loose_facts(lines, links, sure) -> list[int]:
+    """Hashes of the short lines that shares alone would make frame, but that have no stable place.
+
+    ``lines`` are (hash, edge rate, list rate, fact, places), ``links`` (hash, side,
+    neighbour or None at the end of a page, places). From the top, the foot and the
+    other frame lines on, a short line is fixed if what is fixed stands on one side
+    of it in PLACE_RATE of its places: facts between content lines never are.
+    """
+    sure = set(sure)
+    framed = {h: n for h, edge, heads, _, n in lines if h in sure or edge >= EDGE_RATE or heads >= 0.9}
+    fixed = {h for h, _, heads, fact, _ in lines if h in framed and (not fact or heads >= 0.9)}
+    while True:
+        held: dict[tuple[int, int], int] = {}
+        for h, side, beside, n in links:
+            if h in framed and h not in fixed and (beside is None or beside in fixed):
+                held[h, side] = held.get((h, side), 0) + n
+        new = {h for (h, _), n in held.items() if n >= PLACE_RATE * framed[h]}
+        if not new:
+            return sorted(framed.keys() - fixed)
+        fixed |= new
+
+
 def shop_frames(parsed: DataFrame) -> DataFrame:
     """Per shop the hashes of its frame lines, of the frame lines that head a list, and of all lines on several pages.
 
@@ -146,17 +172,29 @@ def shop_frames(parsed: DataFrame) -> DataFrame:
     repeated = written(repeated, "frames")
     both = parsed.join(small_side(repeated.select(F.col("shop").alias("_s"), "sure", "maybe")), F.col("shop").eqNullSafe(F.col("_s")))
     # What follows each line that is or may be frame: the next text line of the page.
-    follow = F.transform(F.col("hash"), lambda h, i: F.struct(h.alias("h"), F.get(F.col("hash"), i + 1).alias("next"), F.get(F.col("kind"), i + 1).alias("kind")))
+    follow = F.transform(F.col("hash"), lambda h, i: F.struct(h.alias("h"), F.get(F.col("hash"), i - 1).alias("prev"), F.get(F.col("hash"), i + 1).alias("next"), F.get(F.col("kind"), i + 1).alias("kind"), F.get(F.col("fact"), i).alias("fact")))
     wanted = F.filter(follow, lambda x: F.array_contains(F.col("sure"), x["h"]) | F.array_contains(F.col("maybe"), x["h"]))
-    seen = both.select("shop", "sure", F.explode(wanted).alias("x")).select(
-        "shop", F.col("x.h").alias("h"),
+    seen = both.select("shop", "sure", "maybe", F.explode(wanted).alias("x")).select(
+        "shop", "sure", "maybe", F.col("x.h").alias("h"), F.col("x.prev").alias("prev"), F.col("x.next").alias("next"), F.col("x.fact").alias("fact"),
         (F.col("x.next").isNull() | F.coalesce(F.array_contains("sure", F.col("x.next")), F.lit(False))).cast("int").alias("edge"),
         F.coalesce(F.col("x.kind").isin(DATED, ITEM), F.lit(False)).cast("int").alias("list"),
     )
-    rates = seen.groupBy("shop", "h").agg(F.avg("edge").alias("edge"), F.avg("list").alias("list"))
-    tail = rates.groupBy("shop").agg(F.collect_list(F.when(F.col("edge") >= EDGE_RATE, F.col("h"))).alias("edges"), F.collect_list(F.when(F.col("list") >= 0.9, F.col("h"))).alias("heads"))
+    beside = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("prev").alias("nb")), F.struct(F.lit(1).alias("side"), F.col("next").alias("nb"))))
+    known = F.col("x.nb").isNull() | F.array_contains("sure", F.col("x.nb")) | F.array_contains("maybe", F.col("x.nb"))
+    links = seen.where("fact = 1").select("shop", "h", "sure", "maybe", beside.alias("x")).where(known).groupBy("shop", "h", F.col("x.side").alias("side"), F.col("x.nb").alias("nb")).agg(F.count("*").alias("n"))
+    links = links.groupBy(F.col("shop").alias("_l")).agg(F.collect_list(F.struct("h", "side", "nb", "n")).alias("links"))
+    rates = seen.groupBy("shop", "h").agg(F.avg("edge").alias("edge"), F.avg("list").alias("list"), F.max("fact").alias("fact"), F.count("*").alias("n"))
+    tail = rates.groupBy("shop").agg(F.collect_list(F.when(F.col("edge") >= EDGE_RATE, F.col("h"))).alias("edges"), F.collect_list(F.when(F.col("list") >= 0.9, F.col("h"))).alias("heads"), F.collect_list(F.struct("h", "edge", "list", "fact", "n")).alias("lines"))
+    tail = tail.join(small_side(links), F.col("shop").eqNullSafe(F.col("_l")), "left").drop("_l")
+
+    @F.udf("array<bigint>")
+    def loose(lines, links, sure):
+        return loose_facts(lines or [], links or [], sure or [])
+
     r, t = repeated.alias("r"), tail.alias("t")
-    return r.join(t, F.col("r.shop").eqNullSafe(F.col("t.shop")), "left").select("r.shop", "sure", "maybe", "repeated", F.coalesce("edges", F.array().cast("array<bigint>")).alias("edges"), F.coalesce("heads", F.array().cast("array<bigint>")).alias("heads"))
+    none = F.array().cast("array<bigint>")
+    out = r.join(t, F.col("r.shop").eqNullSafe(F.col("t.shop")), "left").select("r.shop", "sure", "maybe", "repeated", F.coalesce("edges", none).alias("edges"), F.coalesce("heads", none).alias("heads"), loose("lines", "links", "sure").alias("_x"))
+    return out.withColumn("sure", F.array_except("sure", "_x")).withColumn("edges", F.array_except("edges", "_x")).drop("_x")
 
 
 def furniture(kinds, words, hashes, crumbs, sure: set, edges: set, heads: set, repeated: set) -> list[bool]:
