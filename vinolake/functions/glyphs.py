@@ -13,15 +13,19 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-# Letters of other scripts that look like a Latin letter.
-_CYRILLIC = "АВЕКМНОРСТУХЅІЈԌҮҺԚԜавеорсухѕіјһԁԛԝѵ"
-_CYRILLIC_AS = "ABEKMHOPCTYXSIJGYhQWaBeopcyxsijhdqwv"
-_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικχ"
-_GREEK_AS = "ABEZHIKMNOPTYXavopikx"
+# Letters of other scripts that look like a Latin letter, per script, and what they look like.
+_TWINS = {
+    "cyrillic": ("АВЕКМНОРСТУХЅІЈԌҮҺԚԜаеорсухѕіјһԁԛԝѵ", "ABEKMHOPCTYXSIJGYhQWaeopcyxsijhdqwv"),
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικχ", "ABEZHIKMNOPTYXavopikx"),
+    "armenian": ("օհոսցՕ", "ohnugO"),
+    "phonetic": ("ɑɡ", "ag"),
+}
+_RANGES = {"latin": "A-Za-zªºÀ-ɏḀ-ỿ", "greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ԯ", "armenian": "԰-֏", "phonetic": "ɐ-ʯ"}
 # End of fixed values.
 
-LOOKALIKE = {**dict(zip(_CYRILLIC, _CYRILLIC_AS)), **dict(zip(_GREEK, _GREEK_AS))}
-LOOKALIKE.pop("в", None)  # a small capital, never read as "B" inside a word
+LOOKALIKE = {a: b for theirs, ours in _TWINS.values() for a, b in zip(theirs, ours)}
+#: Per script the letter that stands for a Latin one.
+_BACK = {s: {b: a for a, b in zip(theirs, ours)} for s, (theirs, ours) in _TWINS.items()}
 
 _STYLED_KINDS = ("<font>", "<wide>", "<narrow>", "<circle>")
 
@@ -47,19 +51,34 @@ INVISIBLE = {
     if unicodedata.category(chr(cp)) == "Cf" and cp not in range(0x600, 0x620)
 }
 _TABLE = {**STYLED, **SPACES, **INVISIBLE}
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+_FOREIGN = re.compile("[" + "".join(r for s, r in _RANGES.items() if s != "latin") + "]")
 _WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile("[^\x00-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u20a0-\u20bf]")
 _LATIN_MARKS = re.compile("[\u0300-\u036f]+")
 _RARE_RANGE = re.compile("[\u0483-\u1fff\u20d0-\U0001ffff]")
 _MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
-_LATIN = re.compile("[A-Za-zªºÀ-ɏḀ-ỿ]")
+_SCRIPTS = {s: re.compile(f"[{r}]") for s, r in _RANGES.items()}
+
+
+def _usual() -> str:
+    """A class of what is surely in the usual form: ASCII, accented Latin, dashes, quotes and currency signs that no table above changes.
+
+    It lists a few ranges, because a class of the hundreds of variants costs the JVM forty times as much.
+    """
+    out = "\\x00-\\x7E"
+    for first, last in ((0xA1, 0x24F), (0x2010, 0x2027), (0x20A0, 0x20BF)):
+        run: list[int] = []
+        for cp in range(first, last + 2):
+            if cp <= last and cp not in _TABLE:
+                run.append(cp)
+            elif run:
+                out += f"\\u{run[0]:04X}-\\u{run[-1]:04X}"
+                run = []
+    return out
 
 
-#: Java pattern: a value without a match is surely in the usual form. It lists what is
-#: harmless in a few ranges (ASCII, accented Latin, dashes and quotes, currency signs),
-#: because a class of the hundreds of variants costs the JVM forty times as much.
-SUSPECT = "[^\\x00-\\x7E\\xA1-\\xAC\\xAE-\\u024F\\u2010-\\u2027\\u20A0-\\u20BF]"
+#: Pattern of Java and Python: a value without a match is surely in the usual form.
+SUSPECT = f"[^{_usual()}]"
+_ODD = re.compile(SUSPECT)
 
 
 def to_latin(word: str) -> str | None:
@@ -85,24 +104,39 @@ def composed(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(_TABLE))
 
 
+def dominant_script(word: str) -> str:
+    """The script most letters of a token are of; a letter that no other script imitates counts three times."""
+    weight = dict.fromkeys(_RANGES, 0)
+    for ch in word:
+        for s, letters in _SCRIPTS.items():
+            if letters.match(ch):
+                base = unicodedata.normalize("NFD", ch)[0]
+                imitated = base in LOOKALIKE if s != "latin" else any(base in back for back in _BACK.values())
+                weight[s] += 1 if imitated else 3
+    return max(weight, key=lambda s: (weight[s], s == "latin"))
+
+
+def to_script(word: str, script: str) -> str | None:
+    """The word with every Latin letter replaced by the look-alike of another script, or None if one has none."""
+    out = [_BACK[script].get(ch, None if _SCRIPTS["latin"].match(ch) else ch) for ch in word]
+    return None if None in out else "".join(out)
+
+
 @lru_cache(maxsize=100_000)
-def _judge(word: str) -> tuple[str, str | None]:
-    """(repaired word, Latin reading that needs proof by the vocabulary or None)."""
+def readings(word: str) -> tuple[str, ...]:
+    """The forms a token with foreign letters may stand for, that in its dominant script first; itself is none of them."""
     if not _FOREIGN.search(word):
-        return word, None
-    latin = to_latin(word)
-    if latin is None:
-        return word, None
-    scripts = bool(_LATIN.search(word)) + bool(re.search("[Ͱ-Ͽ]", word)) + bool(re.search("[Ѐ-ԯ]", word))
-    return (latin, None) if scripts > 1 else (word, latin)
+        return ()
+    script, latin = dominant_script(word), to_latin(word)
+    own = to_script(word, script) if script != "latin" and _SCRIPTS["latin"].search(word) else None
+    return tuple(r for r in (own, latin) if r is not None and r != word)
 
 
 def repair(text: str, known=frozenset()) -> tuple[str, list[str]]:
-    """The repaired text, and the Latin readings of words in one foreign script that were not in ``known``.
+    """The repaired text, and the readings (lower case) of tokens with foreign letters that were not in ``known``.
 
-    A word of mixed scripts is repaired when every foreign letter has a Latin
-    twin. A word wholly in a foreign script is repaired only if its lower-cased
-    Latin reading is in ``known``, the vocabulary of the corpus.
+    A token is replaced by the first of its ``readings`` that is in ``known``, the
+    vocabulary of the corpus, and stays as it is if none is.
     """
     text = composed(text)
     if not _FOREIGN.search(text):
@@ -110,12 +144,12 @@ def repair(text: str, known=frozenset()) -> tuple[str, list[str]]:
     open_words: list[str] = []
 
     def sub(m: re.Match) -> str:
-        fixed, reading = _judge(m.group(0))
-        if reading is not None:
-            if reading.lower() in known:
-                return reading
-            open_words.append(reading.lower())
-        return fixed
+        may = readings(m.group(0))
+        for r in may:
+            if r.lower() in known:
+                return r
+        open_words.extend(r.lower() for r in may)
+        return m.group(0)
 
     return _WORD.sub(sub, text), open_words
 
