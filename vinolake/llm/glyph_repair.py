@@ -1,10 +1,10 @@
 """Visually identical text with different characters: script-aware repair.
 
 Styled, wide, invisible and spacing variants have one usual form and are always
-replaced. Look-alike letters of other scripts are replaced per word: in a word
-of mixed scripts whenever every foreign letter has a Latin twin; in a word
-wholly in one foreign script only if its Latin reading occurs in the corpus as
-an ordinary Latin word. So a Greek or Cyrillic name stays what it is.
+replaced. Look-alike letters are replaced per token: its dominant script is
+determined, and the token is read wholly in that script, else as Latin, but only
+if the reading occurs in the corpus. So a Greek or Cyrillic name stays what it
+is, and one with a stray Latin letter is not turned into Latin.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def vocabulary_hits(values: DataFrame, readings: DataFrame) -> DataFrame:
-    """Of the distinct ``readings`` (column word) those that occur in ``values`` as a word written in ASCII letters.
+    """Of the distinct ``readings`` (column word) those that occur in ``values`` as a word.
 
     Counts over all values; the readings are broadcast only if they are few,
     otherwise both sides meet in a shuffled join on the distinct words.
