@@ -175,7 +175,7 @@ def test_mixing(spark):
     got = mixing.mix(df, targets, block=100).collect()
     total = sum(r.tokens for r in got)
     for s in ("big", "small"):
-        assert sum(r.tokens for r in got if r.source == s) / total == pytest.approx(0.5, abs=0.03)
+        assert sum(r.tokens for r in got if r.source == s) / total == pytest.approx(0.5, abs=0.005)
     assert {r.source for r in got} == {"big", "small"}
     assert max(r.repetition for r in got if r.source == "big") == 0 and max(r.repetition for r in got if r.source == "small") <= 1
     assert len({(r.doc_id, r.repetition) for r in got}) == len(got)
