@@ -1,12 +1,15 @@
 """Template residue and error-page text: positive-unlabelled naive Bayes by expectation-maximization.
 
-Passages (sentences of the text without markup) are the unit. Passages that
-hold unfilled template syntax or match one of a few trusted phrases are known
-positives; everything else is unlabelled. Naive Bayes over hashed words starts
-with the unlabelled passages as negatives and is refined by EM, in which the
-known positives keep their label. A record is then excluded if it holds an
-unfilled placeholder, or if its passages say nothing but error, notice or
-filler: one passage of real content clears it.
+Trusted records are bodies that came with a server error (status 500 and above), a
+handful of seed texts that every such corpus shares (the reason phrases of HTTP,
+filler, a script notice), and texts that hold unfilled template syntax; everything
+else is unlabelled. Naive Bayes over hashed words and pairs starts with the
+unlabelled records as negatives and is refined by EM: trust is a prior, so real
+content delivered with a wrong status is not learnt as residue, and the prior of
+the unlabelled records is learnt per source. The model then scores passages
+(sentences of the text without markup). A record is excluded if it holds an
+unfilled placeholder, or if its passages say nothing but error, notice or filler:
+one passage of real content clears it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from functools import lru_cache
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
@@ -21,19 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinolake.operators.scale import written
+from vinolake.functions.glyphs import fold
+from vinolake.operators.scale import spread, written
 
 #: Hash space of words and word pairs: the model has this many weights whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 ROUNDS = 6
-#: A passage seen this often, and nearly always in records with a trusted passage, is trusted too.
-FOLLOWS = 3
-#: A passage whose log-likelihood ratio is below this is real content and clears its record.
+#: Log prior odds of a trusted error record or seed, of a record with an unfilled slot, and at first of an unlabelled one.
+TRUSTED_ODDS, SLOT_ODDS, START_ODDS = 3.0, 0.0, -1.0
+#: How often a seed counts.
+SEED_WEIGHT = 3
+#: A passage whose log odds are below this is real content and clears its record.
 CLEAR = -2.0
+#: Word that stands for a slot; it is no feature of the model.
+SLOT = "\ue000"
 
 # Template syntaxes in either case (not "[click here]" or an address at
-# model.com); phrases of error pages, notices and filler that
-# are trusted as positives; statuses and words of the crawler itself.
+# model.com); seed passages beside the reason phrases of HTTP; the crawler's own statuses.
 PLACEHOLDER = re.compile(
     r"\{\{\s*[\w.$| ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|#\{\s*[\w.]+\s*\}|\{\$[\w.>-]+\}|<%[=-]?\s*[\w.]+\s*%>|%%\s*[\w.]+\s*%%"
     r"|%\([\w.]+\)[sd]|\[\[\s*[\w.]+\s*\]\]|__[A-Z][A-Z0-9_.]*__|(?<![\w.])@Model\.\w[\w.]*|\[(?!(?:click|tap|press|read|see|find|look|order|buy|more|start)\b)[\w. ]+ HERE\]|&lt;insert [\w. ]+&gt;|<insert [\w. ]+>|\{%\s*\w[^%]*%\}",
@@ -41,47 +49,42 @@ PLACEHOLDER = re.compile(
 )
 #: Values that are nothing but an unfilled slot.
 BARE_SLOT = re.compile(r"^\s*(\{\w*\}|%[sd]|\[object object\]|undefined|nan|null|none( none)*|tbd|todo|n/?a \?+)\s*$", re.I)
-TRUSTED = re.compile(
-    r"(?:\b(?:lorem|ipsum|dolor|dolet|sit|sic|amet|consectetur|elit|tempor|labore|magna|aliqua|nostris)\b.*){2}|not find (that|this|the) page|page not found|not found|nothing here|seite gibt es nicht|n'existe (pas|plus)|bestaat niet|ne mene plus nulle part"
-    r"|internal (fault|error|server)|erreur interne|ging iets mis|server ?fehler|service unavailable|bad gateway|gateway got no answer|no answer from upstream|database '|out of memory"
-    r"|en maintenance|wartungsarbeiten|onderhoud|maintenance until|too many requests|request blocked|access (to this shop was |was )?(refused|denied)|pas le droit de voir|geen toegang|zugriff verweigert"
-    r"|runs without scripts|javascript (requis|required|einschalten|aan)|(enable|switch on|activer|activez|allow) (javascript|scripts)|besoin de javascript|scripts needed|not a robot|verification du navigateur|controlons votre connexion|checking your browser"
-    r"|traceback|typeerror|keyerror|session expired|host not configured"
-    r"|fault #|blindtext|your text goes here|texte d'exemple|vul hier uw tekst|sample product|nom du produit|titre de la page|todo write|replace before launch|asdf|\bxxx+\b|status text here"
-)
-CRAWLER_STATUS = re.compile(r"^\s*(ok|empty response|robots\.txt|blocked|circuit open|unreachable|parse error|truncated|not reached)\b(?!\s+(page|site))", re.I)
-NEUTRAL = re.compile(r"^(ref\.?|id|retour|zuruck|back|terug|srv|edge|front|oops|sorry|desole|hoppla|helaas|error|attention|#|[\W\d_]|hex)*$")
+SEEDS = [
+    "lorem ipsum dolor sit amet, consectetur adipiscing elit", "your text goes here", "page not found", "this site is under maintenance",
+    "please enable javascript to view this page", "checking your browser before you continue", "verify that you are not a robot",
+]
+CRAWLER_STATUS = r"(?i)^\s*(ok|empty response|robots\.txt|blocked|circuit open|unreachable|parse error|truncated|not reached)\b(?!\s+(page|site))"
+JSON = r"^\s*[\[{]\s*[\"{\[]"
 # End of fixed values.
 
+_CRAWLER = re.compile(CRAWLER_STATUS)
 _SILENT = re.compile(r"<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 _TAG = re.compile(r"<[^>]*>")
 _BREAK = re.compile(r"</?(?:p|div|li|h\d|hr|br|td|tr|span|b|small|title|body|html|noscript|ul|head)\b[^>]*>", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[€%]")
-_JSON = re.compile(r"^\s*[\[{]\s*[\"{\[]")
-
-
-def _fold(text: str) -> str:
-    from vinolake.functions.glyphs import fold
+_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
+_DIGITS = re.compile(r"\d+")
+_SPACES = re.compile(r"\s+")
 
-    return fold(text).replace("’", "'")
 
-
-def is_json(text: str) -> bool:
-    return bool(_JSON.match(text)) and not text.lstrip().startswith(("{{", "[["))
+def seeds() -> list[str]:
+    """The seed passages: reason phrases of the client and server errors of HTTP, and SEEDS."""
+    return [f"{s.value} {s.phrase}" for s in HTTPStatus if s >= 400] + SEEDS
 
 
 def passages(text: str) -> list[str]:
-    """Sentences and blocks of the visible text, numbers masked, lower case without accents."""
-    shown = _TAG.sub(" ", _BREAK.sub("\n", _SILENT.sub(" ", text)))
-    if not shown.strip():  # nothing but a title
-        shown = _TAG.sub(" ", text)
-    visible = html.unescape(shown)
+    """Sentences and blocks of the visible text, numbers masked, lower case without accents; those without letters are left out."""
+    shown = text
+    if "<" in text:
+        shown = _TAG.sub(" ", _BREAK.sub("\n", _SILENT.sub(" ", text)))
+        if not shown.strip():  # nothing but a title
+            shown = _TAG.sub(" ", text)
+    visible = fold(html.unescape(shown) if "&" in shown else shown).replace("’", "'")
     out = []
     for p in _SENTENCE.split(visible):
-        p = re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "hex", _fold(p))
-        p = re.sub(r"\s+", " ", re.sub(r"\d+", "#", p)).strip(" \t")
-        if p:
+        p = _SPACES.sub(" ", _DIGITS.sub("#", _HEX.sub("#", p))).strip(" \t")
+        if any(c.isalpha() or c == SLOT for c in p):
             out.append(p)
     return out
 
@@ -94,113 +97,143 @@ def features(passage: str) -> tuple[int, ...]:
     return tuple(sorted({xxhash.xxh32_intdigest(g) % BUCKETS for g in grams}))
 
 
-def trusted(passage: str) -> bool:
-    return bool(TRUSTED.search(passage))
+def parsed_records(records: DataFrame) -> DataFrame:
+    """(source, record_id, trusted, slot, said) of the records (source, record_id, text, trusted) that may be residue: the passages of each, parsed once.
 
+    Null and blank texts, JSON bodies and the crawler's own statuses never leave the JVM;
+    slot tells whether the text holds an unfilled placeholder.
+    """
+    text = F.col("text")
+    no_json = ~text.rlike(JSON) | F.ltrim(text).startswith("{{") | F.ltrim(text).startswith("[[")
+    own = (F.col("source") == "coverage") & text.rlike(CRAWLER_STATUS) & ~text.rlike(r"[{}<>%\[\]@_&$#]")
+    rows = records.where(F.col("record_id").isNotNull() & (F.trim(text) != "") & no_json & ~own).select("source", "record_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+
+    def parse(batches):
+        for b in batches:
+            out = []
+            for source, i, trusted, text in zip(b["source"], b["record_id"], b["trusted"], b["text"]):
+                filled = PLACEHOLDER.sub(f" {SLOT} ", text)
+                slot = filled != text or bool(BARE_SLOT.match(text))
+                if not slot and (not text.strip() or source == "coverage" and _CRAWLER.match(text)):
+                    continue
+                out.append((source, i, trusted, slot, passages(filled)))
+            yield pd.DataFrame(out, columns=["source", "record_id", "trusted", "slot", "said"])
+
+    return written(spread(rows).mapInPandas(parse, "source string, record_id bigint, trusted boolean, slot boolean, said array<string>"), "said")
 
-def corpus_passages(records: DataFrame) -> DataFrame:
-    """Distinct masked passages of (source, record_id, text) with their number, and how many of them
-    stand in a record with a trusted passage: what the model is trained on.
 
-    Passages are counted inside each batch before they are shuffled. JSON bodies
-    and the crawler's own statuses are left out: they are known negatives of another kind.
+def training_records(parsed: DataFrame) -> DataFrame:
+    """(kind, n, features) of the distinct records by their passages: kind is the source of an unlabelled one, 'trusted' or 'slot'; counted over all records.
+
+    The model learns from whole records, so that a word such as a sigh before an
+    error message is learnt from what stands beside it.
     """
+    kind = F.when(F.col("slot"), "slot").when(F.col("trusted"), "trusted").otherwise(F.col("source"))
+    counted = parsed.where(F.size("said") > 0).groupBy("said", kind.alias("kind")).agg(F.count("*").alias("n"))
+    known = parsed.sparkSession.createDataFrame([(passages(s), "trusted", SEED_WEIGHT) for s in seeds()], "said array<string>, kind string, n bigint")
 
-    def count(batches):
+    def hashed(batches):
         for b in batches:
-            seen: dict[str, list[int]] = {}
-            for source, text in zip(b["source"], b["text"]):
-                if not text or is_json(text) or (source == "coverage" and CRAWLER_STATUS.match(text)):
-                    continue
-                said = passages(PLACEHOLDER.sub(" ", text))
-                beside = any(map(trusted, said))
-                for p in said:
-                    c = seen.setdefault(p, [0, 0])
-                    c[0] += 1
-                    c[1] += beside
-            yield pd.DataFrame({"passage": pd.Series(list(seen), dtype=object), "n": pd.Series([c[0] for c in seen.values()], dtype="int64"), "beside": pd.Series([c[1] for c in seen.values()], dtype="int64")})
+            yield pd.DataFrame({"kind": b["kind"].astype(object), "n": b["n"], "features": [sorted({f for p in said for f in features(p)}) for said in b["said"]]})
 
-    return records.mapInPandas(count, "passage string, n bigint, beside bigint").groupBy("passage").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside"))
+    return written(counted.unionByName(known).mapInPandas(hashed, "kind string, n bigint, features array<int>"), "training")
 
 
-def train(table: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-odds weight per bucket, the last entry being the log prior odds; trained over all passages by EM.
+def train(table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, float]]:
+    """Log-likelihood ratio per bucket, and the log prior odds of an unlabelled record per source; trained over all records by EM.
 
     Each round is one pass in which every batch adds up its soft counts per
-    bucket; only 2 x BUCKETS sums leave the executors, whatever the corpus.
+    bucket; only the sums per bucket leave the executors, whatever the corpus.
     """
-    weights = None
-    for _ in range(rounds):
-        w = weights
-
-        def sums(batches, w=w):
-            pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    fixed = {"trusted": TRUSTED_ODDS, "slot": SLOT_ODDS}
+    kinds = sorted(r.kind for r in table.select("kind").distinct().collect())  # the sources and two more
+    odds = {k: fixed.get(k, START_ODDS) for k in kinds}
+    at = {k: BUCKETS + i for i, k in enumerate(kinds)}
+    pos, neg = np.zeros(BUCKETS + len(kinds)), np.zeros(BUCKETS + len(kinds))
+    for r in range(rounds):
+        state = table.sparkSession.sparkContext.broadcast((pos, neg, odds))
+
+        def sums(batches, state=state, r=r):
+            pos, neg, odds = state.value
+            w = _weights(pos, neg)
+            new = np.zeros_like(pos), np.zeros_like(neg)
             for b in batches:
-                for p, n, beside in zip(b["passage"], b["n"], b["beside"]):
-                    f = np.fromiter(features(p), dtype=np.int64)
-                    if not len(f):
-                        continue
-                    m = float(n)
-                    known = trusted(p) or n >= FOLLOWS and beside >= 0.9 * n
-                    q = 1.0 if known else 0.0 if w is None else 1.0 / (1.0 + np.exp(-np.clip(w[BUCKETS] + w[f].sum(), -30, 30)))
-                    pos[f] += m * q
-                    neg[f] += m * (1 - q)
-                    pos[BUCKETS] += m * q
-                    neg[BUCKETS] += m * (1 - q)
-            at = np.nonzero(pos + neg)[0]
-            yield pd.DataFrame({"bucket": at, "pos": pos[at], "neg": neg[at]})
+                b = b[b["features"].map(len) > 0]
+                if not len(b):
+                    continue
+                flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["features"]])
+                size = b["features"].map(len).to_numpy()
+                prior, n = b["kind"].map(odds).to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
+                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+                score = np.add.reduceat(w[flat], starts) + prior
+                if r == 1:
+                    # Compared with the other records' counts: the words of a rare error are not held against it because it was first taken for content.
+                    before = n / (1.0 + np.exp(-prior))
+                    score = np.add.reduceat(_weights(pos, neg, pos[flat] - np.repeat(before, size), neg[flat] - np.repeat(n - before, size)), starts) + prior
+                q = 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30)))
+                for total, share in zip(new, (n * q, n * (1 - q))):
+                    total += np.bincount(flat, weights=np.repeat(share, size), minlength=len(total))
+                    total += np.bincount(b["kind"].map(at).to_numpy(), weights=share, minlength=len(total))
+            k = np.nonzero(new[0] + new[1])[0]
+            yield pd.DataFrame({"bucket": k, "pos": new[0][k], "neg": new[1][k]})
 
         total = table.mapInPandas(sums, "bucket bigint, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
-        pos, neg = np.full(BUCKETS + 1, 0.0), np.full(BUCKETS + 1, 0.0)
+        pos, neg = np.zeros(BUCKETS + len(kinds)), np.zeros(BUCKETS + len(kinds))
         pos[total["bucket"]], neg[total["bucket"]] = total["pos"], total["neg"]
-        p, n = max(pos[BUCKETS], 1.0), max(neg[BUCKETS], 1.0)
-        weights = np.log((pos + 0.1) / (p + 0.2)) - np.log((neg + 0.1) / (n + 0.2))
-        weights[BUCKETS] = np.log(p / n)
-    return weights
+        if r:
+            odds = {k: fixed.get(k, float(np.log((pos[x] + 0.5) / (neg[x] + 0.5)))) for k, x in at.items()}
+    return _weights(pos, neg)[:BUCKETS], odds
 
 
-def residue_records(records: DataFrame) -> DataFrame:
-    """Distinct (source, record_id) of the records to exclude, from records (source, record_id, text).
+def _weights(pos: np.ndarray, neg: np.ndarray, p: np.ndarray | None = None, n: np.ndarray | None = None) -> np.ndarray:
+    """Smoothed log-likelihood ratios of the counts ``p`` and ``n`` (else of every bucket) in the classes whose sizes follow the buckets; 0 where nothing was counted."""
+    p, n = (pos, neg) if p is None else (np.maximum(p, 0.0), np.maximum(n, 0.0))
+    ratio = np.log((p + 0.1) / (pos[BUCKETS:].sum() + 10.0)) - np.log((n + 0.1) / (neg[BUCKETS:].sum() + 10.0))
+    return np.where(p + n > 1e-6, ratio, 0.0)
 
-    Null, empty and blank texts, JSON bodies and the crawler's own statuses with
-    or without a remark are never cases, unless a status holds a placeholder.
-    Repeated records give one row. An empty table gives no rows.
-    """
-    table = written(corpus_passages(records), "passages")
-    model = table.sparkSession.sparkContext.broadcast(train(table))
+
+def judged(parsed: DataFrame, model: tuple[np.ndarray, dict[str, float]]) -> DataFrame:
+    """(source, record_id, by) of the records to exclude: by is 'slot' or 'model'."""
+    shared = parsed.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        prior = float(model.value[BUCKETS])
+        weights, odds = shared.value
 
         @lru_cache(maxsize=100_000)
         def score(p: str) -> float:
             f = features(p)
-            return float(model.value[list(f)].sum()) if f else 0.0
-
-        def residue(source: str, text: str) -> bool:
-            if not text or not text.strip():
-                return False
-            if is_json(text):
-                return False
-            if PLACEHOLDER.search(text) or BARE_SLOT.match(text):
-                return True
-            if source == "coverage" and CRAWLER_STATUS.match(text):
-                return False
-            said = [p for p in passages(text) if not NEUTRAL.match(p.replace(" ", ""))]
-            if not said:
-                return False
-            bad = [trusted(p) or score(p) + prior > 0 for p in said]
-            return any(bad) and all(b or score(p) > CLEAR for b, p in zip(bad, said))
+            return float(weights[list(f)].sum()) if f else 0.0
 
         for b in batches:
-            kept = [(s, i) for s, i, t in zip(b["source"], b["record_id"], b["text"]) if residue(s, t)]
-            yield pd.DataFrame({"source": pd.Series([s for s, _ in kept], dtype=object), "record_id": pd.Series([i for _, i in kept], dtype="int64")})
+            kept = []
+            for source, i, slot, said in zip(b["source"], b["record_id"], b["slot"], b["said"]):
+                if slot:
+                    kept.append((source, i, "slot"))
+                    continue
+                scores = [score(p) + odds.get(source, 0.0) for p in said]
+                if any(x > 0 for x in scores) and not any(x < CLEAR for x in scores):
+                    kept.append((source, i, "model"))
+            yield pd.DataFrame({"source": pd.Series([k[0] for k in kept], dtype=object), "record_id": pd.Series([k[1] for k in kept], dtype="int64"), "by": pd.Series([k[2] for k in kept], dtype=object)})
 
-    return records.mapInPandas(judge, "source string, record_id bigint").distinct()
+    return parsed.mapInPandas(judge, "source string, record_id bigint, by string")
+
+
+def residue_records(records: DataFrame) -> DataFrame:
+    """Distinct (source, record_id) of the records to exclude, from records (source, record_id, text) and optionally trusted.
+
+    trusted marks records known to be errors from elsewhere, such as a server
+    error's status; null counts as false. Null, empty and blank texts, JSON bodies
+    and the crawler's own statuses with or without a remark are never cases, unless
+    a status holds a placeholder. Repeated records give one row. An empty table gives no rows.
+    """
+    if "trusted" not in records.columns:
+        records = records.withColumn("trusted", F.lit(False))
+    parsed = parsed_records(records)
+    return judged(parsed, train(training_records(parsed))).select("source", "record_id").distinct()
 
 
 def found_residue(probe_attempt: DataFrame, coverage: DataFrame) -> DataFrame:
     """Distinct (source, record_id) of probe bodies and coverage statuses that are residue."""
-    a = probe_attempt.select(F.lit("probe_attempt").alias("source"), F.col("attempt_id").cast("long").alias("record_id"), F.col("body_snippet").alias("text"))
-    b = coverage.select(F.lit("coverage").alias("source"), F.col("coverage_id").cast("long").alias("record_id"), F.col("status").alias("text"))
-    return residue_records(a.unionByName(b).where("record_id is not null and text is not null"))
+    a = probe_attempt.select(F.lit("probe_attempt").alias("source"), F.col("attempt_id").cast("long").alias("record_id"), F.col("body_snippet").alias("text"), (F.col("http_status") >= 500).alias("trusted"))
+    b = coverage.select(F.lit("coverage").alias("source"), F.col("coverage_id").cast("long").alias("record_id"), F.col("status").alias("text"), F.lit(False).alias("trusted"))
+    return residue_records(a.unionByName(b))
