@@ -1,16 +1,15 @@
 """What changed between full snapshots: a bucketed key-to-hash index of the last snapshot, probed with the new one.
 
-An index row is (bucket, key columns, hash of the compared values). Probing is
-one equi-join on (bucket, key): no values of the old snapshot travel. Where old
-values are wanted they are fetched by a second join for the changed keys only.
-
-Two forms share the probe:
-
-* ``SnapshotStore`` keeps the index of the last snapshot in a folder, one
-  generation per delivery, and swaps generations by rewriting a pointer file;
-* ``changes_in_history`` probes every delivery of a whole history at once: each
-  delivery's index is addressed to the next delivery of the same source, so all
-  probes are one co-partitioned join instead of a loop over snapshots.
+``SnapshotStore`` keeps the index in a folder, one generation per delivery. A
+generation is a table bucketed by key: (key columns, hash of the compared values,
+change_kind). A delivery is shuffled once, by key, into the same buckets and probes
+the last generation in place; what the probe finds is the next generation, whose
+change_kind column tells the changes and whose other rows are the index. Values of the
+old snapshot never travel: where they are wanted, ``old_values`` fetches them for the
+changed keys only. Generations are swapped by renaming a pointer file, so a job
+that dies leaves the old one in force; older generations are removed.
+
+``changes_in_history`` delivers a whole history to such a store, snapshot by snapshot.
 """
 
 from __future__ import annotations
@@ -18,12 +17,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinolake.operators.scale import small_side
+from vinolake.operators.scale import scratch, small_side
 
-BUCKETS = 256
+#: Bytes of a delivery that one bucket holds at most, when the number of buckets is not given.
+BUCKET_BYTES = 64 << 20
 
 
 def page_path(url: Column) -> Column:
@@ -46,26 +46,111 @@ def cents(price: Column) -> Column:
     return F.round(price.cast("double") * 100, 0).cast("long")
 
 
-def latest_rows(df: DataFrame, keys: list[str], version: str, values: list[Column]) -> DataFrame:
-    """Of several rows of a key the one with the greatest ``version`` (null last); ties go to the greatest values.
+class SnapshotStore:
+    """The index of the last snapshot in ``folder``, bucketed by ``keys``, replaced as a whole by each delivery.
 
-    One partial aggregation before the shuffle; ``values`` must be aliased.
+    ``source`` names the key column of parties that deliver on their own: a source without a
+    row in a snapshot did not deliver, and its part of the index stays as it is; a
+    source's first delivery gives no changes. Without it the first snapshot gives none.
+    ``keep`` generations stay readable, None for all; the changes returned by the last
+    ``keep - 1`` deliveries are reads of them. Null keys are left out, repeated rows are merged.
     """
-    names = [df.select(v).columns[0] for v in values]
-    best = df.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("_v"), *values)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{n}").alias(n) for n in names])
 
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], values: list[str], buckets: int | None = None, source: str | None = None, keep: int | None = 2):
+        self.spark, self.folder, self.keys, self.values, self.buckets, self.source, self.keep = spark, folder.rstrip("/"), keys, values, buckets, source, keep
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._known: dict[str, str] = {}  # generation -> name in this session's catalog
 
-def index_of(latest: DataFrame, keys: list[str], values: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The key-to-hash index of one snapshot (or of many, if the keys name it)."""
-    return latest.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"), *keys, value_hash(*[F.col(v) for v in values]).alias("hash"))
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, oldest first."""
+        at = self._fs_path(self.folder)
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("CURRENT-"))
 
+    def _read(self, pointer: str) -> dict:
+        stream = self._fs.open(self._fs_path(f"{self.folder}/{pointer}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _table(self, state: dict) -> DataFrame:
+        """A generation as a bucketed table, entered into the session's catalog at first sight."""
+        generation = state["generation"]
+        if generation not in self._known:
+            name = f"vinolake_{generation.replace('-', '_')}"
+            cluster = ", ".join(f"`{k}`" for k in self.keys)
+            self.spark.sql(f"create table {name} ({state['schema']}) using parquet clustered by ({cluster}) into {state['buckets']} buckets location '{self.folder}/{generation}'")
+            self._known[generation] = name
+        return self.spark.table(self._known[generation])
 
-def probe(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, change_kind) for every key that is in one index only or whose hash differs."""
-    o, n = old.withColumnRenamed("hash", "_old"), new.withColumnRenamed("hash", "_new")
-    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
-    return o.join(n, ["bucket", *keys], "full_outer").select(*keys, kind.alias("change_kind")).where("change_kind is not null")
+    def index(self) -> DataFrame | None:
+        """The index in force (keys, hash), or None before the first delivery."""
+        pointers = self._pointers()
+        return self._table(self._read(pointers[-1])).where("hash is not null").select(*self.keys, "hash") if pointers else None
+
+    def apply(self, snapshot: DataFrame, version: str | None = None) -> DataFrame | None:
+        """The changes (keys, change_kind) against the last delivery, None for the first; afterwards ``snapshot`` is the last delivery.
+
+        Of several rows of a key the one with the greatest ``version`` counts, else the greatest values.
+        """
+        pointers = self._pointers()
+        state = self._read(pointers[-1]) if pointers else None
+        buckets = state["buckets"] if state else self.buckets or self._wanted(snapshot)
+        rows = snapshot.where(" and ".join(f"`{k}` is not null" for k in self.keys)).select(*self.keys, *([version] if version else []), *self.values).repartition(buckets, *self.keys)
+        order = [F.col(version).alias("_v")] if version else []
+        best = rows.groupBy(*self.keys).agg(F.max(F.struct(*order, *self.values)).alias("_b"))
+        new = best.select(*self.keys, value_hash(*[F.col(f"_b.{v}") for v in self.values]).alias("_new"))
+        if state is None:
+            found = new.select(*self.keys, F.col("_new").alias("hash"), F.lit(None).cast("string").alias("change_kind"))
+        else:
+            old = self.index().withColumnRenamed("hash", "_old")
+            if self.source:  # which sources delivered now, and which had delivered before
+                now = small_side(snapshot.select(F.col(self.source).alias("_n")).where("_n is not null").distinct())
+                before = small_side(old.select(F.col(self.source).alias("_s")).distinct())
+                old = old.join(now, F.col(self.source) == F.col("_n"), "left").withColumn("_due", F.col("_n").isNotNull()).drop("_n")
+                new = new.join(before, F.col(self.source) == F.col("_s"), "left").withColumn("_had", F.col("_s").isNotNull()).drop("_s")
+            else:
+                old, new = old.withColumn("_due", F.lit(True)), new.withColumn("_had", F.lit(True))
+            kind = F.when(F.col("_old").isNull(), F.when(F.col("_had"), "added")).when(F.col("_new").isNull(), F.when(F.col("_due"), "removed")).when(F.col("_old") != F.col("_new"), "changed")
+            kept = F.coalesce("_new", F.when(~F.col("_due"), F.col("_old")))
+            found = old.join(new, self.keys, "full_outer").select(*self.keys, kept.alias("hash"), kind.alias("change_kind"))
+        generation = f"gen-{uuid.uuid4().hex}"
+        name = f"vinolake_{generation.replace('-', '_')}"
+        found.write.bucketBy(buckets, *self.keys).option("path", f"{self.folder}/{generation}").format("parquet").saveAsTable(name)
+        self._known[generation] = name
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+        self._swap(pointers, {"generation": generation, "buckets": buckets, "schema": schema})
+        return None if state is None else self.spark.table(name).where("change_kind is not null").select(*self.keys, "change_kind")
+
+    def _wanted(self, snapshot: DataFrame) -> int:
+        """Buckets for deliveries of the size of the first."""
+        size = int(snapshot._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return max(self.spark.sparkContext.defaultParallelism, 1 + size // BUCKET_BYTES)
+
+    def _swap(self, pointers: list[str], state: dict) -> None:
+        """Put a generation in force by one rename, then forget the pointers and generations before the last ``keep``."""
+        draft = self._fs_path(f"{self.folder}/draft-{state['generation']}")
+        out = self._fs.create(draft, True)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+        number = int(pointers[-1].split("-")[1]) + 1 if pointers else 0
+        if not self._fs.rename(draft, self._fs_path(f"{self.folder}/CURRENT-{number:012d}")):
+            raise OSError(f"another delivery took place in {self.folder}")
+        for old in pointers[: len(pointers) + 1 - self.keep] if self.keep and len(pointers) >= self.keep else []:
+            generation = self._read(old)["generation"]
+            if generation in self._known:
+                self.spark.sql(f"drop table if exists {self._known.pop(generation)}")
+            self._fs.delete(self._fs_path(f"{self.folder}/{generation}"), True)
+            self._fs.delete(self._fs_path(f"{self.folder}/{old}"), False)
+
+    @staticmethod
+    def old_values(changes: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
+        """The previous snapshot's rows of the keys that changed or vanished, and of no others."""
+        return previous.join(changes.where("change_kind <> 'added'").select(*keys), keys, "left_semi")
 
 
 def changes_in_history(df: DataFrame, *, source: str, seq: str, key: Column, version: str, values: list[Column]) -> DataFrame:
@@ -73,24 +158,22 @@ def changes_in_history(df: DataFrame, *, source: str, seq: str, key: Column, ver
 
     A source's first delivery gives no rows; a number at which a source has no
     row was not delivered for it. Rows without source, number or key are left out.
+    The rows are laid out by number in one pass, then delivered to a ``SnapshotStore``
+    in order: work is in proportion to the rows of each delivery and of the index.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(seq), F.col(source), key.alias("_key"), F.col(version), *values).where(F.col(seq).isNotNull() & F.col(source).isNotNull() & F.col("_key").isNotNull())
     names = rows.columns[4:]
-    # The delivery calendar: aggregated before it moves; sources x deliveries rows.
-    delivered = rows.select(source, seq).distinct()
-    order = Window.partitionBy(source).orderBy(seq)
-    calendar = delivered.select(source, seq, F.lead(seq).over(order).alias("_next"), F.lag(seq).over(order).isNull().alias("_first"))
-    latest = latest_rows(rows, [source, seq, "_key"], version, [F.col(n) for n in names])
-    known = latest.join(small_side(calendar), [source, seq])
-    index = index_of(known, [source, seq, "_key", "_next", "_first"], names).drop("bucket")
-    addressed = index.where("_next is not null").select(source, F.col("_next").alias(seq), "_key", F.col("hash").alias("_old"))
-    arrived = index.where("not _first").select(source, seq, "_key", F.col("hash").alias("_new"))
-    # The probe as one union and one aggregation on (source, key, number): old and
-    # new hash of a key meet without sorting both sides of an outer join.
-    met = addressed.withColumn("_new", F.lit(None).cast("long")).unionByName(arrived.withColumn("_old", F.lit(None).cast("long")))
-    both = met.groupBy(source, "_key", seq).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
-    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
-    return both.select(seq, source, "_key", kind.alias("change_kind")).where("change_kind is not null")
+    staged = scratch(spark, "deliveries")
+    rows.write.partitionBy(seq).parquet(staged)
+    laid = spark.read.schema(rows.schema).parquet(staged)
+    store = SnapshotStore(spark, scratch(spark, "index"), [source, "_key"], names, source=source, keep=None)
+    out = spark.createDataFrame([], f"`{seq}` {dict(rows.dtypes)[seq]}, `{source}` string, _key string, change_kind string")
+    for (number,) in sorted(laid.select(seq).distinct().collect()):  # the numbers of the deliveries
+        changes = store.apply(laid.where(F.col(seq) == number).drop(seq), version)
+        if changes is not None:
+            out = out.unionByName(changes.select(F.lit(number).cast(dict(rows.dtypes)[seq]).alias(seq), source, "_key", "change_kind"))
+    return out
 
 
 def found_changes(snapshot: DataFrame) -> DataFrame:
@@ -100,48 +183,3 @@ def found_changes(snapshot: DataFrame) -> DataFrame:
         source="shop", seq="snap_no", key=page_path(F.col("url")), version="loaded_at",
         values=[cents(F.col("price")).alias("cents"), F.col("in_stock")],
     ).withColumnRenamed("_key", "page_path")
-
-
-class SnapshotStore:
-    """The index of the last snapshot in ``folder``, bucketed by key, replaced as a whole by each delivery.
-
-    ``apply`` probes a new snapshot and writes its index as the next generation;
-    the pointer file is rewritten last, so a job that dies leaves the old
-    generation in force and can be run again.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], values: list[str], buckets: int = BUCKETS):
-        self.spark, self.folder, self.keys, self.values, self.buckets = spark, folder.rstrip("/"), keys, values, buckets
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> str | None:
-        path = self._fs_path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(path):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/CURRENT").collect()))["generation"]
-
-    def index(self) -> DataFrame | None:
-        """The index in force, or None before the first delivery."""
-        generation = self._pointer()
-        return None if generation is None else self.spark.read.parquet(f"{self.folder}/{generation}")
-
-    def apply(self, snapshot: DataFrame, version: str | None = None) -> DataFrame | None:
-        """The changes against the last delivery (None for the first); afterwards ``snapshot`` is the last delivery."""
-        values = [F.col(v) for v in self.values]
-        latest = latest_rows(snapshot, self.keys, version, values) if version else snapshot.groupBy(*self.keys).agg(F.max(F.struct(*values)).alias("_v")).select(*self.keys, "_v.*")
-        generation = f"gen-{uuid.uuid4().hex}"
-        index_of(latest, self.keys, self.values, self.buckets).repartition("bucket").sortWithinPartitions("bucket", *self.keys).write.parquet(f"{self.folder}/{generation}")
-        fresh, old = self.spark.read.parquet(f"{self.folder}/{generation}"), self.index()
-        changes = None if old is None else probe(old, fresh, self.keys)
-        out = self._fs.create(self._fs_path(f"{self.folder}/CURRENT"), True)
-        try:
-            out.write(bytearray(json.dumps({"generation": generation}).encode()))
-        finally:
-            out.close()
-        return changes
-
-    @staticmethod
-    def old_values(changes: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-        """The previous snapshot's rows of the keys that changed or vanished, and of no others."""
-        return previous.join(changes.where("change_kind <> 'added'").select(*keys), keys, "left_semi")
