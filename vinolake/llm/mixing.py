@@ -68,7 +68,7 @@ def mix(sized: DataFrame, targets: DataFrame, block: int | None = None, total: i
     # How far along its line each source is used: one row per source.
     wanted = F.broadcast(plan.join(F.broadcast(turns.groupBy("source").agg(F.max("block").alias("last"))), "source").select("source", "supply", "repeats", ((F.col("last") + 1) * block).alias("wanted")))
     used = docs.join(F.broadcast(plan.select("source")), "source", "left_semi")
-    shuffled = running(used, ["source"], [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")], F.col("tokens"), name="before", buckets=1024)
+    shuffled = running(used, ["source"], [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")], F.col("tokens"), name="before")
     # Only the copies of a document that begin before the end of what is used.
     copies = F.least(F.col("repeats").cast("long"), F.ceil((F.col("wanted") - F.col("before")) / F.col("supply")))
     line = shuffled.join(wanted, "source").withColumn("copies", copies).where("copies > 0").withColumn("repetition", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))

@@ -90,17 +90,21 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rest = items.where("length > 0")
     histogram = {r.length: r["count"] for r in rest.groupBy("length").count().collect()}  # at most capacity - 1 rows
     rows, bins = plan(histogram, capacity)
-    chunks = [(ln, rank + at, min(per * max(1, CHUNK // per), n - at), first + at // per, per, start) for ln, rank, n, first, per, start in rows for at in range(0, n, per * max(1, CHUNK // per))]
     spark = sized.sparkSession
-    planned = spark.createDataFrame(chunks, "length int, rank0 bigint, n bigint, bin0 bigint, per bigint, start int")
+    intervals = spark.createDataFrame(rows, "length int, rank0 bigint, n bigint, bin0 bigint, per bigint, start int")
+    # An interval is cut into pieces of at most CHUNK slots before it is unfolded, both on the executors.
+    step = F.col("per") * F.greatest(F.lit(1), F.floor(F.lit(CHUNK) / F.col("per")))
+    planned = intervals.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step.cast("long")))).select(
+        "length", (F.col("rank0") + F.col("at")).alias("rank0"), F.least(step, F.col("n") - F.col("at")).cast("long").alias("n"), (F.col("bin0") + F.floor(F.col("at") / F.col("per"))).cast("long").alias("bin0"), "per", "start"
+    )
     slots = (
-        planned.repartition(max(1, min(len(chunks), 2 * spark.sparkContext.defaultParallelism)), "length", "rank0")
+        planned.repartition("length", "rank0")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
         .select("length", (F.col("rank0") + F.col("j")).alias("rank"), (F.col("bin0") + F.floor(F.col("j") / F.col("per"))).cast("long").alias("container"), (F.col("start") + F.col("length") * (F.col("j") % F.col("per"))).cast("int").alias("start"))
     )
     placed = running(rest, ["length"], [F.col("doc_id")], name="rank").join(slots, ["length", "rank"])
     ends = placed.select("container", "doc_id", F.col("full").alias("piece"), "start", F.col("length").alias("tokens"))
-    long = running(items.where("full > 0").withColumn("_all", F.lit(0)), ["_all"], [F.col("doc_id")], F.col("full"), name="before", buckets=1024)
+    long = running(items.where("full > 0").withColumn("_all", F.lit(0)), ["_all"], [F.col("doc_id")], F.col("full"), name="before")
     fulls = long.select("doc_id", "before", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece")).select((F.lit(bins) + F.col("before") + F.col("piece")).cast("long").alias("container"), "doc_id", "piece", F.lit(0).alias("start"), F.lit(capacity).alias("tokens"))
     return ends.unionByName(fulls)
 
