@@ -25,16 +25,19 @@ from pyspark.sql import types as T
 from vinolake.functions.glyphs import skeleton
 from vinolake.operators.scale import small_side, spread, written
 
-#: Edits (a transposition counts as one) between a word and its lexicon entry.
-EDITS = 1
-#: Shortest word that is looked up approximately; shorter ones only stand for themselves.
-MIN_LENGTH = 6
+#: Entries shorter than this only stand for themselves; shorter than MIN_LENGTH, they and their
+#: misspellings count with evidence of their own; from FAR_LENGTH on, two edits are looked for.
+NEAR_LENGTH, MIN_LENGTH, FAR_LENGTH = 4, 6, 8
 #: A word that is not in the lexicon is a sure misspelling if it is rare: at most this
 #: often, or at most this share of the entry's own frequency. Of a more frequent one
 #: each record needs evidence of its own (``Book.resolve``) or the spelling needs it.
 RARE, RARE_SHARE = 2, 0.12
-#: Entries of a word map that go to the workers as a dictionary; larger maps are joined.
-MAP_ROWS = 150_000
+#: A word that stands before the last one in so many names of the book is a first name.
+COMMON_FIRST = 3
+#: A decision's cost from which on it rests on two edits.
+FAR_COST = 20
+#: Entries of a word map that go to the workers as a dictionary, and rows of a book that go there whole; larger ones are joined.
+MAP_ROWS, BOOK_ROWS = 150_000, 200_000
 
 # Legal forms and their abbreviations, words that belong to no name,
 # and nicknames that are not the beginning of the name.
@@ -87,30 +90,6 @@ def osa_within(a: str, b: str, k: int) -> int | None:
     return d if d <= k else None
 
 
-def _cuts(length: int, parts: int) -> list[tuple[int, int]]:
-    """Start and length of each of the ``parts`` segments of a word, the longer ones last."""
-    base, more = divmod(length, parts)
-    out, at = [], 0
-    for p in range(parts):
-        n = base + (p >= parts - more)
-        out.append((at, n))
-        at += n
-    return out
-
-
-def _segments(word: str, k: int) -> list[tuple[int, int, str]]:
-    return [(len(word), p, word[s : s + n]) for p, (s, n) in enumerate(_cuts(len(word), k + 1))]
-
-
-def _probes(word: str, k: int) -> list[tuple[int, int, str]]:
-    out = set()
-    for length in range(max(1, len(word) - k), len(word) + k + 1):
-        for p, (s, n) in enumerate(_cuts(length, k + 1)):
-            for at in range(max(0, s - k), min(len(word) - n, s + k) + 1):
-                out.add((length, p, word[at : at + n]))
-    return sorted(out)
-
-
 def _one_edit_index(words: DataFrame, by: list[str]) -> DataFrame:
     """Inverted index for one edit: the two halves and the whole word."""
     n = F.length("word")
@@ -143,33 +122,42 @@ def _one_edit_probes(words: DataFrame, by: list[str]) -> DataFrame:
     return words.select(*by, "word", F.explode(F.array(*keys)).alias("k")).select(*by, "word", "k.*")
 
 
-def segment_join(words: DataFrame, lexicon: DataFrame, k: int = EDITS, by: list[str] = []) -> DataFrame:
-    """Distinct (by..., word, entry, distance) of every word within ``k`` edits of a lexicon entry, both columns named word.
-
-    A transposition counts as one edit. For one edit, words are cut in two and
-    everything runs inside the JVM; for more, a transposition can spoil two
-    segments, so words are cut into 2k + 1. ``by`` are columns that must be equal
+def _two_edit_index(words: DataFrame, by: list[str]) -> DataFrame:
+    """Inverted index for two edits: the three thirds of a word, and the halves and the word for what a swap leaves to one edit."""
+    n = F.length("word")
+    a, b = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    thirds = F.array(*[F.struct(n.alias("len"), F.lit(10 + p).alias("part"), seg.alias("seg")) for p, seg in enumerate((F.substring("word", F.lit(1), a), F.substring("word", a + 1, b - a), F.substring("word", b + 1, n - b)))])
+    return words.select(*by, F.col("word").alias("entry"), F.explode(thirds).alias("k")).select(*by, "entry", "k.*").unionByName(_one_edit_index(words, by))
+
+
+def _two_edit_probes(words: DataFrame, by: list[str]) -> DataFrame:
+    """Probes of two edits: without a swap one third survives, moved by two at most; with a swap the word after swapping those letters back is within one edit."""
+    at = words.select(*by, "word", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(p).alias("p"), F.lit(shift).alias("shift")) for d in range(-2, 3) for p in range(3) for shift in range(-2, 3)])).alias("x"))
+    m = F.length("word") + F.col("x.d")
+    cut = F.array(F.lit(0), F.floor(m / 3).cast("int"), F.floor(m * 2 / 3).cast("int"), m)
+    start = F.get(cut, F.col("x.p"))
+    size, begin = F.get(cut, F.col("x.p") + 1) - start, start + F.col("x.shift")
+    thirds = at.where((m > 0) & (begin >= 0) & (begin + size <= F.length("word"))).select(*by, "word", m.alias("len"), (F.col("x.p") + 10).alias("part"), F.substring("word", begin + 1, size).alias("seg"))
+    swaps = words.where("length(word) > 1").select(*by, F.col("word").alias("_w"), F.explode(F.expr("sequence(1, length(word) - 1)")).alias("i"))
+    swapped = F.concat(F.substring("_w", F.lit(1), F.col("i") - 1), F.substring("_w", F.col("i") + 1, F.lit(1)), F.substring("_w", F.col("i"), F.lit(1)), F.substring("_w", F.col("i") + 2, F.length("_w")))
+    variants = swaps.select(*by, "_w", swapped.alias("word")).where("word <> _w")
+    return thirds.unionByName(_one_edit_probes(variants, [*by, "_w"]).select(*by, F.col("_w").alias("word"), "len", "part", "seg"))
+
+
+def segment_join(words: DataFrame, lexicon: DataFrame, k: int = 1, by: list[str] = []) -> DataFrame:
+    """Distinct (by..., word, entry, distance) of every word within ``k`` edits (1 or 2) of a lexicon entry, both columns named word.
+
+    A transposition counts as one edit. Words are cut into k + 1 segments and
+    everything up to the verification runs inside the JVM; a transposition, which can
+    spoil two segments, has probes of its own. ``by`` are columns that must be equal
     (for lexicons of their own). Nulls match nothing; words of one letter only
     match themselves. Every pair within ``k`` edits is found: no caps.
     """
+    if k not in (1, 2):
+        raise ValueError("one or two edits")
     left = words.select(*by, "word").where("word is not null and word <> ''").distinct()
     right = lexicon.select(*by, "word").where("word is not null and word <> ''").distinct()
-    if k == 1:
-        index, probes = _one_edit_index(right, by), _one_edit_probes(left, by)
-    else:
-        kk = 2 * k
-        schema = ", ".join([*[f"{c} {dict(words.dtypes)[c]}" for c in by], "word string", "len int", "part int", "seg string"])
-
-        def expand(make):
-            def run(batches):
-                for b in batches:
-                    rows = [(*r[:-1], r[-1], *x) for r in b[[*by, "word"]].itertuples(index=False, name=None) for x in make(r[-1], kk)]
-                    yield pd.DataFrame(rows, columns=[*by, "word", "len", "part", "seg"])
-
-            return run
-
-        index = right.mapInPandas(expand(_segments), schema).withColumnRenamed("word", "entry")
-        probes = left.mapInPandas(expand(_probes), schema)
+    index, probes = (_one_edit_index(right, by), _one_edit_probes(left, by)) if k == 1 else (_two_edit_index(right, by), _two_edit_probes(left, by))
     pairs = probes.join(small_side(index), [*by, "len", "part", "seg"]).select(*by, "word", "entry").distinct()
     # A banded distance in the JVM discards nearly all candidates; what remains, transpositions among it, is verified exactly.
     near = pairs.where(F.levenshtein("word", "entry", 2 * k) >= 0)
@@ -198,88 +186,126 @@ def tokenized(records: DataFrame) -> DataFrame:
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
-    """(word, n, n_name): in how many rows a word of at least MIN_LENGTH letters stands, and in how many as part of the name."""
+    """(word, n, n_name): in how many rows a word stands, and in how many as part of the name."""
     both = F.array_distinct(F.concat("name", "title"))
-    words = tok.select(F.explode(F.filter(both, lambda w: F.length(w) >= MIN_LENGTH)).alias("word"), "name")
+    words = tok.select(F.explode(F.filter(both, lambda w: F.length(w) >= 2)).alias("word"), "name")
     return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.array_contains("name", F.col("word"))).alias("n_name"))
 
 
-def word_map(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, entry, distance): the lexicon entry each corpus word stands for; entries stand for themselves.
+def weighed(found: DataFrame, counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``found`` (word, entry, distance) with n, n_name, the entry's n_entry and whether the word is an entry itself; other entries drop out.
 
-    A word that is no entry is a misspelling only if it is rare beside the
-    entry; of several entries the nearest, most frequent one is taken.
+    Entries are looked up as an outer side: one may occur in the corpus only misspelt.
     """
-    found = segment_join(counts, lexicon)
     entries = lexicon.select(F.col("word").alias("entry")).distinct()
-    # Entries seen in the corpus, as an outer side: an entry may occur only misspelt.
     weight = entries.join(counts.select(F.col("word").alias("entry"), F.col("n").alias("n_entry")), "entry", "left")
     near = found.join(counts, "word").join(small_side(weight), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry"))), "word", "left")
-    rare = (F.col("n") <= RARE) | (F.col("n") <= RARE_SHARE * F.coalesce("n_entry", F.lit(0)))
-    good = near.where((F.col("distance") == 0) | (F.col("is_entry").isNull() & rare))
-    best = F.min(F.struct(F.col("distance"), -F.coalesce("n_entry", F.lit(0)), F.col("entry")))
-    return good.groupBy("word").agg(best.alias("b")).select("word", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
+    return near.where((F.col("distance") == 0) | F.col("is_entry").isNull()).withColumn("n_entry", F.coalesce("n_entry", F.lit(0)))
+
+
+def word_map(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, entry, distance): the lexicon entry each corpus word stands for; entries stand for themselves.
+
+    A word that is no entry is a misspelling only if it is rare beside the
+    entry; of several entries the nearest, most frequent one is taken. Entries
+    shorter than MIN_LENGTH only stand for themselves.
+    """
+    long = lexicon.where(F.length("word") >= MIN_LENGTH)
+    found = segment_join(counts.where(F.length("word") >= MIN_LENGTH - 1), long)
+    rare = (F.col("n") <= RARE) | (F.col("n") <= RARE_SHARE * F.col("n_entry"))
+    good = weighed(found, counts, long).where((F.col("distance") == 0) | rare)
+    best = good.groupBy("word").agg(F.min(F.struct(F.col("distance"), -F.col("n_entry"), F.col("entry"))).alias("b"))
+    short = lexicon.where(F.length("word") < MIN_LENGTH).select("word", F.col("word").alias("entry"), F.lit(0).alias("distance")).distinct()
+    return best.select("word", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance")).join(short.select("word"), "word", "left_anti").unionByName(short)
 
 
 def near_words(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, entry, distance, behind): every lexicon entry a corpus word may stand for; entries stand for themselves.
 
-    Words shorter than MIN_LENGTH, which ``counts`` does not hold, match exactly;
-    of the others nothing within one edit is left out. behind says how frequency speaks: 0 for
+    The edits that are looked for grow with the entry: none under NEAR_LENGTH
+    letters, one from there on, and two from FAR_LENGTH on for words that have no nearer
+    entry. Nothing within one edit is left out; two edits need a word that is rare
+    itself and stands alone. behind says how frequency speaks: 0 for
     the nearest, most frequent entry, 1 for its rivals, and 2 more where the word
-    is not rare beside the entry.
+    is not rare beside the entry or the likeness alone says little (short entries, two edits).
     """
-    found = segment_join(counts, lexicon)
-    entries = lexicon.select(F.col("word").alias("entry")).distinct()
-    weight = entries.join(counts.select(F.col("word").alias("entry"), F.col("n").alias("n_entry")), "entry", "left")
-    near = found.join(counts, "word").join(small_side(weight), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry"))), "word", "left")
-    good = near.where((F.col("distance") == 0) | F.col("is_entry").isNull())
-    often = (F.col("distance") > 0) & (F.col("n") > RARE) & (F.col("n") > RARE_SHARE * F.coalesce("n_entry", F.lit(0)))
-    first = Window.partitionBy("word").orderBy("distance", F.desc(F.coalesce("n_entry", F.lit(0))), "entry")
+    near = lexicon.where(F.length("word") >= NEAR_LENGTH)
+    one = written(weighed(segment_join(counts.where(F.length("word") >= NEAR_LENGTH - 1), near), counts, near), "near")
+    rest = counts.where(F.length("word") >= FAR_LENGTH - 2).join(one.select("word"), "word", "left_anti")
+    far = lexicon.where(F.length("word") >= FAR_LENGTH)
+    # At two edits a word that stands in names again and again is another maker's, and so is one within one edit of such a word.
+    two = written(weighed(segment_join(rest.where(F.col("n") <= RARE), far, 2).where("distance = 2"), counts, far), "far")
+    others = segment_join(two.select("word"), counts.where((F.col("n_name") > RARE) & (F.length("word") >= FAR_LENGTH - 2))).select("word").distinct()
+    two = two.join(others, "word", "left_anti")
+    often = (F.col("distance") > 0) & ((F.col("n") > RARE) & (F.col("n") > RARE_SHARE * F.col("n_entry")) | (F.length("entry") < MIN_LENGTH) | (F.col("distance") > 1))
+    first = Window.partitionBy("word").orderBy("distance", F.desc("n_entry"), "entry")
     behind = F.when(F.row_number().over(first) == 1, 0).otherwise(1) + F.when(often, 2).otherwise(0)
-    short = entries.where(F.length("entry") < MIN_LENGTH).select(F.col("entry").alias("word"), "entry", F.lit(0).alias("distance"), F.lit(0).alias("behind"))
-    return good.select("word", "entry", "distance", behind.cast("int").alias("behind")).unionByName(short)
+    short = lexicon.where(F.length("word") < NEAR_LENGTH).select("word", F.col("word").alias("entry"), F.lit(0).alias("distance"), F.lit(0).alias("behind")).distinct()
+    return one.unionByName(two).select("word", "entry", "distance", behind.cast("int").alias("behind")).unionByName(short)
+
 
+HIT = "array<struct<field:int,pos:int,entry:string,distance:int,behind:int>>"
 
-def with_hits(tok: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``tok`` (source, record_id, name, title and any other columns) with hits: array of (field, pos, entry, distance, behind), field 0 the name and 1 the title.
 
-    A word may have several entries in ``mapping``; behind is 0 where it has no such column. A map of bounded size goes to the workers; a larger one is joined on the words.
+def with_decisions(tok: DataFrame, mapping: DataFrame, keep: list[str], decide, columns: str, extra: list[str] = []) -> DataFrame:
+    """The columns ``keep`` of ``tok`` with those of the rows that ``decide(name, title, hits, *extra)`` gives, in one Python stage.
+
+    hits are (field, pos, entry, distance, behind), field 0 being the name and 1 the
+    title; a word may have several entries in ``mapping``, and behind is 0 where it has no such
+    column. A map of bounded size goes to the workers; a larger one is joined on the words.
     """
-    hit = "array<struct<field:int,pos:int,entry:string,distance:int,behind:int>>"
     if "behind" not in mapping.columns:
         mapping = mapping.withColumn("behind", F.lit(0))
-    if mapping.limit(MAP_ROWS + 1).count() <= MAP_ROWS:
+    schema = T.StructType([*[tok.schema[c] for c in keep], *T.StructType.fromDDL(columns).fields])
+    few = mapping.limit(MAP_ROWS + 1).count() <= MAP_ROWS
+    if few:
         entries: dict[str, list[tuple[str, int, int]]] = {}
         for r in mapping.toLocalIterator():
             entries.setdefault(r.word, []).append((r.entry, r.distance, r.behind))
         known = tok.sparkSession.sparkContext.broadcast(entries)
+    else:
+        parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("name").alias("ws")), F.struct(F.lit(1).alias("field"), F.col("title").alias("ws"))))
+        # Equal texts have equal hits: a hash of the texts is the key, so repeated texts are joined once.
+        keyed = tok.withColumn("_h", F.xxhash64("name", "title"))
+        words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word")).distinct()
+        hits = words.join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance", "behind")).alias("hits"))
+        tok = keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast(HIT)))
 
-        def run(batches):
-            m = known.value
-            for b in batches:
-                hits = []
-                for n, t in zip(b["name"], b["title"]):
-                    hits.append([(f, k, *x) for f, ws in ((0, n), (1, t)) for k, w in enumerate(ws) if w in m for x in m[w]])
-                yield b.astype({c: object for c in b.columns if b[c].dtype == "str" or b[c].dtype == "string"}).assign(hits=hits)
+    def run(batches):
+        m = known.value if few else {}
+        for b in batches:
+            rows: list[tuple] = []
+            own, more = [b[c].tolist() for c in keep], [b[c].tolist() for c in extra]
+            given = None if few else b["hits"].tolist()
+            for k, (n, t) in enumerate(zip(b["name"].tolist(), b["title"].tolist())):
+                if few:
+                    hits = [(f, at, *x) for f, ws in ((0, n), (1, t)) for at, w in enumerate(ws) if w in m for x in m[w]]
+                else:
+                    hits = [(h["field"], h["pos"], h["entry"], h["distance"], h["behind"]) for h in given[k]]
+                for r in decide(n, t, hits, *[c[k] for c in more]):
+                    rows.append((*[c[k] for c in own], *r))
+            yield pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype=_DTYPES.get(f.dataType.simpleString(), object)) for k, f in enumerate(schema)})
+
+    need = list(dict.fromkeys([*keep, "name", "title", *extra, *([] if few else ["hits"])]))
+    return tok.select(*need).mapInPandas(run, schema)
 
-        schema = T.StructType([*tok.schema.fields, *T.StructType.fromDDL(f"hits {hit}").fields])
-        return tok.mapInPandas(run, schema)
-    parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("name").alias("ws")), F.struct(F.lit(1).alias("field"), F.col("title").alias("ws"))))
-    keyed = tok.withColumn("_h", F.xxhash64("source", "record_id", "name", "title"))
-    words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word"))
-    hits = words.distinct().join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance", "behind")).alias("hits"))
-    return keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast(hit)))
+
+_DTYPES = {"bigint": "int64", "int": "int32"}
 
 
 class Book:
-    """The estates of a name book by surname, and what counts as a first name."""
+    """The estates of a name book by surname, and what counts as a first name.
+
+    ``firsts`` and ``whole`` are the words and the whole of the first names of a larger book of which these are some estates.
+    """
 
-    def __init__(self, names: list[tuple[int, str]]):
+    def __init__(self, names: list[tuple[int, str]], firsts: frozenset[str] | None = None, whole: list[str] | None = None):
         parsed = [(i, [w for w in tokens(n) if w.isalpha()]) for i, n in names]
         bare = [(i, [w for w in ws if w not in TYPES and w not in JUNK], any(w in ("et",) for w in ws) or bool(re.search(r"[&]|\w-\w", n))) for (i, ws), (_, n) in zip(parsed, names)]
-        leading = Counter(w for _, ws, _ in bare for w in set(ws[:-1]))
-        self.firsts = {w for w, n in leading.items() if n >= 3} | set("jean francois".split())
+        if firsts is None:
+            leading = Counter(w for _, ws, _ in bare for w in set(ws[:-1]))
+            firsts = frozenset(w for w, n in leading.items() if n >= COMMON_FIRST) | frozenset("jean francois".split())
+        self.firsts = firsts
         self.estates: list[tuple[int, tuple[str, ...], str]] = []
         self.forms: list[frozenset[str]] = []
         for (i, ws, _), (_, full) in zip(bare, parsed):
@@ -292,7 +318,7 @@ class Book:
         for k, (_, last, _) in enumerate(self.estates):
             for w in set(last):
                 self.by[w].append(k)
-        self.whole = sorted({f for _, _, f in self.estates if f})
+        self.whole = sorted({f for _, _, f in self.estates if f}) if whole is None else whole
         self._first: dict[str, bool] = {}
 
     def surnames(self) -> list[str]:
@@ -447,12 +473,51 @@ class Book:
         return (None if chosen is None else (self.estates[chosen][0], found[chosen])), notes
 
 
-def name_book(book: DataFrame, max_rows: int = 200_000) -> Book:
-    """The book on the driver; it is a reference table of bounded size."""
-    rows = book.select("producer_id", "name").where("producer_id is not null and name is not null").distinct().orderBy("producer_id").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"the name book has more than {max_rows} rows; link it in blocks of estates")
-    return Book([(r.producer_id, r.name) for r in rows])
+class Shelf:
+    """A name book for the workers: whole if it is of bounded size, else only its first names, the estates being joined to the records."""
+
+    def __init__(self, book: DataFrame):
+        rows = book.select("producer_id", "name").where("producer_id is not null and name is not null").distinct()
+        spark, self.book = book.sparkSession, None
+        listed = rows.orderBy("producer_id").limit(BOOK_ROWS + 1).collect()
+        if len(listed) <= BOOK_ROWS:
+            self.book = Book([(r.producer_id, r.name) for r in listed])
+            self.lexicon = spark.createDataFrame([(w,) for w in self.book.surnames()], "word string")
+            self.shared = spark.sparkContext.broadcast(self.book)
+            return
+
+        def leading(batches):
+            for b in batches:
+                ws = [[w for w in tokens(n) if w.isalpha() and w not in TYPES and w not in JUNK] for n in b["name"]]
+                yield pd.DataFrame({"word": pd.Series([w for x in ws for w in set(x[:-1])], dtype=object)})
+
+        common = rows.select("name").mapInPandas(leading, "word string").groupBy("word").count().where(F.col("count") >= COMMON_FIRST)
+        firsts = frozenset(r.word for r in common.collect()) | frozenset("jean francois".split())  # first names of a language are few
+
+        def parts(batches):
+            for b in batches:
+                out = []
+                for i, n in zip(b["producer_id"], b["name"]):
+                    for _, last, first in Book([(i, n)], firsts, []).estates:
+                        out += [(i, n, first, w) for w in set(last)]
+                yield pd.DataFrame({"producer_id": pd.Series([r[0] for r in out], dtype="int64"), **{c: pd.Series([r[k] for r in out], dtype=object) for k, c in ((1, "name"), (2, "first"), (3, "word"))}})
+
+        self.parts = written(rows.select(F.col("producer_id").cast("long").alias("producer_id"), "name").mapInPandas(parts, "producer_id bigint, name string, first string, word string"), "book")
+        whole = sorted(r.first for r in self.parts.where("first <> ''").select("first").distinct().collect())
+        self.lexicon = self.parts.select("word").distinct()
+        self.shared = spark.sparkContext.broadcast(Book([], firsts, whole))
+
+    def known(self) -> Book:
+        """The book, or an empty one that knows the first names."""
+        return self.shared.value
+
+    def with_estates(self, tok: DataFrame, mapping: DataFrame) -> DataFrame:
+        """``tok`` with estates: the (producer_id, name) of all estates whose surname a word of the row may stand for."""
+        keyed = tok.withColumn("_t", F.xxhash64("name", "title"))
+        words = keyed.select("_t", F.explode(F.array_distinct(F.concat("name", "title"))).alias("word")).distinct()
+        entries = words.join(mapping.select("word", "entry"), "word").select("_t", F.col("entry").alias("word")).distinct()
+        mine = entries.join(self.parts.select("word", "producer_id", F.col("name").alias("_n")), "word").groupBy("_t").agg(F.collect_set(F.struct("producer_id", F.col("_n").alias("name"))).alias("estates"))
+        return keyed.join(mine, "_t", "left").drop("_t").withColumn("estates", F.coalesce("estates", F.array().cast("array<struct<producer_id:bigint,name:string>>")))
 
 
 def link_names(records: DataFrame, book: DataFrame) -> DataFrame:
@@ -460,34 +525,31 @@ def link_names(records: DataFrame, book: DataFrame) -> DataFrame:
 
     One row per record at most. Null and empty names leave the decision to the
     title and the reverse; a record whose evidence fits two estates equally, or
-    contradicts the only one, gives none. Repeated rows are merged.
+    contradicts the only one, gives none. Repeated rows are merged. A book of any
+    size is linked: beyond BOOK_ROWS its estates are joined to the records by surname.
     """
-    names = name_book(book)
-    spark = records.sparkSession
-    lexicon = spark.createDataFrame([(w,) for w in names.surnames()], "word string")
+    shelf = Shelf(book)
     tok = tokenized(records)
     counts = written(word_counts(tok), "words")
-    mapping = written(near_words(counts, lexicon), "map")
-    shared = spark.sparkContext.broadcast(names)
+    mapping = written(near_words(counts, shelf.lexicon), "map")
+    shared, whole = shelf.shared, shelf.book is not None
 
-    def run(batches):
-        b0 = shared.value
-        for b in batches:
-            rows = []
-            for s, i, n, t, hs in zip(b["source"], b["record_id"], b["name"], b["title"], b["hits"]):
-                got, notes = b0.resolve_noted(list(n), list(t), [(h["field"], h["pos"], h["entry"], h["distance"], h["behind"]) for h in hs])
-                if got is not None:
-                    rows.append((s, i, *got, "", 1))
-                rows += [(s, i, p, d, w, v) for w, v, p, d in notes]
-            out = {c: pd.Series([r[k] for r in rows], dtype=t) for k, (c, t) in enumerate((("source", object), ("record_id", "int64"), ("producer_id", "int64"), ("edits", "int32"), ("word", object), ("verdict", "int32")))}
-            yield pd.DataFrame(out)
-
-    linked = written(with_hits(tok, mapping).mapInPandas(run, "source string, record_id bigint, producer_id bigint, edits int, word string, verdict int"), "linked")
-    # An open record follows the others that hold its spelling: more distinct records for the estate than against it, or hardly any at all.
+    def decide(name, title, hits, estates=None):
+        b = shared.value if whole else Book([(e["producer_id"], e["name"]) for e in sorted(estates, key=lambda e: e["producer_id"])], shared.value.firsts, shared.value.whole)
+        got, notes = b.resolve_noted(name, title, hits)
+        return [*([(*got, "", 1)] if got is not None else []), *[(p, d, w, v) for w, v, p, d in notes]]
+
+    columns = "producer_id bigint, edits int, word string, verdict int"
+    if whole:
+        decided = with_decisions(tok, mapping, ["source", "record_id"], decide, columns)
+    else:
+        decided = with_decisions(shelf.with_estates(tok, mapping), mapping, ["source", "record_id"], decide, columns, ["estates"])
+    linked = written(decided, "linked")
+    # An open record follows the others that hold its spelling: more distinct records for the estate than against it, or (at one edit) hardly any at all.
     spelling = linked.where("word <> ''").groupBy("word", "source", "record_id").agg(F.max("verdict").alias("v")).groupBy("word").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
-    trusted = spelling.where((F.col("v") > 0) | (F.col("v") == 0) & (F.col("n") <= RARE)).select("word")
-    followed = linked.where("word <> '' and verdict = 0 and producer_id >= 0").join(small_side(trusted), "word", "left_semi")
-    linked = linked.where("word = ''").unionByName(followed)
+    trusted = spelling.where((F.col("v") > 0) | (F.col("v") == 0) & (F.col("n") <= RARE)).select("word", (F.col("v") > 0).alias("proven"))
+    followed = linked.where("word <> '' and verdict = 0 and producer_id >= 0").join(small_side(trusted), "word").where(F.col("proven") | (F.col("edits") < FAR_COST)).drop("proven")
+    linked = linked.where("word = ''").unionByName(followed.select(linked.columns))
     # A record delivered with different texts is decided by its best reading.
     return linked.groupBy("source", "record_id").agg(F.min(F.struct("edits", "producer_id")).alias("b")).select("source", "record_id", F.col("b.producer_id").alias("producer_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vinolake.llm.boilerplate import found_content
 from vinolake.llm.glyph_repair import found_glyphs
-from vinolake.llm.items import found_items
+from vinolake.llm.items import found_items, item_members
 from vinolake.llm.mixing import mixed_documents, share_report
 from vinolake.llm.names import found_names
 from vinolake.llm.packing import fill_report, packed_documents
@@ -26,6 +26,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_items(table(spark, sf, "listing"), table(spark, sf, "observation"), table(spark, sf, "producer_book"))
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return item_members(table(spark, sf, "listing"), table(spark, sf, "observation"), table(spark, sf, "producer_book"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return found_residue(table(spark, sf, "probe_attempt"), table(spark, sf, "coverage"))
 
@@ -62,6 +66,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
