@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vinolake.functions.glyphs import skeleton
 from vinolake.llm.names import JUNK, MIN_LENGTH, NICKNAMES, RARE, RARE_SHARE, TYPES, Book, Shelf, osa_within, segment_join, skeleton_tokens, tokens, with_decisions, word_counts, word_map
 from vinolake.operators.components import components
-from vinolake.operators.scale import small_side, spread, written
+from vinolake.operators.scale import map_columns, rows_of, small_side, spread, written
 from vinolake.operators.units import BOX_WORDS, COUNT_WORDS, skeleton_ml
 
 # Colour words; words of titles that name neither maker nor cuvee.
@@ -56,6 +56,7 @@ _PACKS = [
     re.compile(r"(?<![\w.,])(\d{1,2})\s*(?:bouteilles|bottles|flessen|flaschen|fl\.)(?!\s*oz)"),
 ]
 _DIGITS = re.compile(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)")
+_NUMBERED = re.compile(r"\d{8}|(?<![a-z])(?:ref|art|sku|mpn|part)")
 _DATE = re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d")
 _PART = re.compile(r"(?<![a-z])(?:ref|art|artikel|article|sku|mpn|part)\b[\s.:#]*(?:n[or°]?[\s.:]+)?((?=[a-z0-9/-]*\d)[a-z0-9][a-z0-9/-]{3,19})(?![\w/-])")
 
@@ -92,7 +93,9 @@ def vintage(text: str) -> int:
 
 def pack_size(text: str) -> int:
     """How many bottles a folded title sells together; 1 unless it says so."""
-    for pattern in _PACKS:
+    for k, pattern in enumerate(_PACKS):
+        if k == 0 and "x" not in text:
+            continue
         if m := pattern.search(text):
             n = COUNT_WORDS.get(m.group(1)) or int(m.group(1))
             if 1 <= n <= 24:
@@ -108,20 +111,18 @@ def colour(words: list[str]) -> str:
 
 
 def _parsed(listing: DataFrame) -> DataFrame:
-    schema = "record_id bigint, name array<string>, title array<string>, colour string, vintage int, ml int, pack int, gtin string, part string"
+    def parse(record_id, names, titles, variants):
+        rows = []
+        for name, title, variant in zip(names, titles, variants):
+            a, b = skeleton(title), skeleton(variant)
+            s = f"{a} | {b}" if b else a
+            ws = skeleton_tokens(s)
+            ml = skeleton_ml(b) or skeleton_ml(a) or 750.0
+            numbered = _NUMBERED.search(s) is not None
+            rows.append((" ".join(tokens(name)), " ".join(ws), colour(ws), vintage(s), int(round(ml / 5) * 5), pack_size(s), gtin(s) if numbered else None, part_number(s) if numbered else None))
+        return record_id, *zip(*rows)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, name, title, variant in zip(b["record_id"].tolist(), b["name"].tolist(), b["title"].tolist(), b["variant_title"].tolist()):
-                a, b2 = skeleton(title), skeleton(variant)
-                s = f"{a} | {b2}" if b2 else a
-                ws = skeleton_tokens(s)
-                ml = skeleton_ml(b2) or skeleton_ml(a) or 750.0
-                rows.append((i, tokens(name), ws, colour(ws), vintage(s), int(round(ml / 5) * 5), pack_size(s), gtin(s), part_number(s)))
-            yield pd.DataFrame(rows, columns=["record_id", "name", "title", "colour", "vintage", "ml", "pack", "gtin", "part"])
-
-    return written(spread(listing).mapInPandas(run, schema), "items")
+    return written(map_columns(spread(listing), "record_id bigint, name string, title string, colour string, vintage int, ml int, pack int, gtin string, part string", parse), "items")
 
 
 def surname_lexicon(counts: DataFrame, shelf: Shelf) -> DataFrame:
@@ -136,7 +137,8 @@ def surname_lexicon(counts: DataFrame, shelf: Shelf) -> DataFrame:
 
     candidates = written(counts.where("n_name >= 1").where(plain("word")), "candidates")
     strong = candidates.where((F.col("n_name") > RARE) & (F.length("word") >= MIN_LENGTH))
-    near = segment_join(candidates.where(F.length("word") >= MIN_LENGTH - 1), strong.select("word").union(shelf.lexicon.where(F.length("word") >= MIN_LENGTH))).where("distance > 0")
+    known = written(strong.select("word").union(shelf.lexicon.where(F.length("word") >= MIN_LENGTH)).distinct(), "known")
+    near = segment_join(candidates.where(F.length("word") >= MIN_LENGTH - 1), known, of=known).where("distance > 0")
     weights = candidates.select(F.col("word").alias("entry"), F.col("n").alias("n_entry"))
     worse = near.join(candidates.select("word", "n"), "word").join(weights, "entry", "left").where((F.col("n") <= RARE) | (F.col("n") <= RARE_SHARE * F.coalesce("n_entry", F.lit(0))))
     return candidates.join(worse.select("word").distinct(), "word", "left_anti").select("word").union(shelf.lexicon).distinct()
@@ -165,17 +167,19 @@ def cuvee_keys(rows: DataFrame) -> DataFrame:
     Words beside many makers (grapes, regions, marketing) and their rare misspellings
     are left out, but for titles that have no other word. Everything is decided on the distinct (maker, own), and words are counted over all rows.
     """
-    kinds = written(rows.where("maker <> '' and size(own) > 0").groupBy("maker", "own").agg(F.count("*").alias("n")), "kinds")
-    words = written(kinds.select("maker", F.explode("own").alias("word"), "n").groupBy("maker", "word").agg(F.sum("n").alias("n")), "cuvees")
-    makers = kinds.select("maker").distinct().count()
-    spread_over = words.groupBy("word").agg(F.count("*").alias("makers"))
+    keyed = rows.withColumn("kind", F.when((F.col("maker") != "") & (F.size("own") > 0), F.xxhash64("maker", "own")))
+    kinds = written(keyed.where("kind is not null").groupBy("kind").agg(F.any_value("maker").alias("maker"), F.any_value("own").alias("own"), F.count("*").alias("n")), "kinds")
+    each = kinds.select("kind", "maker", F.explode("own").alias("word"), "n")
+    words = written(each.groupBy("maker", "word").agg(F.sum("n").alias("n")), "cuvees")
+    makers = words.agg(F.count_distinct("maker")).first()[0]
+    spread_over = written(words.groupBy("word").agg(F.count("*").alias("makers")), "spread")
     common = written(spread_over.where(F.col("makers") >= max(COMMON_LEAST, COMMON_SHARE * makers)).select("word"), "common")
     rare = spread_over.where((F.col("makers") <= 2) & (F.length("word") >= 5)).select("word")
-    misspelt = segment_join(rare, common.where("length(word) >= 5")).where("distance > 0").select("word").distinct()
+    misspelt = segment_join(rare, common.where("length(word) >= 5"), of=common).where("distance > 0").select("word")
     noise = written(common.union(misspelt).distinct(), "noise")
     telling = written(words.join(small_side(noise), "word", "left_anti"), "telling")
-    counts = telling.where("length(word) >= 4")
-    near = segment_join(counts, counts, by=["maker"]).where("distance > 0")
+    counts = telling.where("length(word) >= 4").select("maker", "word")
+    near = segment_join(counts, counts, by=["maker"], of=telling).where("distance > 0")
     entry = telling.select("maker", F.col("word").alias("entry"), F.col("n").alias("n_entry"))
     # Of two spellings the far more frequent one is meant; of two rare ones the first in the alphabet if neither is more frequent.
     less = (F.col("n") * DOMINANT <= F.col("n_entry")) | ((F.col("n") <= RARE) & ((F.col("n") < F.col("n_entry")) | (F.col("n") == F.col("n_entry")) & (F.col("entry") < F.col("word"))))
@@ -183,11 +187,11 @@ def cuvee_keys(rows: DataFrame) -> DataFrame:
     best = written(better.groupBy("maker", "word").agg(F.max(F.struct("n_entry", "entry")).alias("b")).select("maker", "word", F.col("b.entry").alias("entry")), "spellings")
     # a neighbour that is itself a misspelling leads on to what it stands for
     onward = best.select("maker", F.col("word").alias("entry"), F.col("entry").alias("_next"))
-    best = best.join(small_side(onward), ["maker", "entry"], "left").select("maker", "word", F.coalesce("_next", "entry").alias("entry"))
-    spelt = telling.select("maker", "word").join(small_side(best), ["maker", "word"], "left").select("maker", "word", F.coalesce("entry", "word").alias("as"))
-    keys = kinds.select("maker", "own", F.explode("own").alias("word")).join(spelt, ["maker", "word"]).groupBy("maker", "own").agg(F.array_join(F.array_sort(F.collect_set("as")), " ").alias("cuvee"))
-    keyed = kinds.select("maker", "own").join(keys, ["maker", "own"], "left").select("maker", "own", F.coalesce("cuvee", F.array_join("own", " ")).alias("cuvee"))
-    return rows.join(small_side(written(keyed, "keys")), ["maker", "own"], "left").withColumn("cuvee", F.coalesce("cuvee", F.lit(""))).drop("own")
+    best = written(best.join(small_side(onward, of=best), ["maker", "entry"], "left").select("maker", "word", F.coalesce("_next", "entry").alias("entry")), "spelt")
+    told = each.join(small_side(noise), "word", "left_anti").join(small_side(best), ["maker", "word"], "left").select("kind", F.coalesce("entry", "word").alias("word"))
+    keys = told.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("cuvee"))
+    named = written(kinds.select("kind", "own").join(keys, "kind", "left").select("kind", F.coalesce("cuvee", F.array_join("own", " ")).alias("cuvee")), "keys")
+    return keyed.join(small_side(named), "kind", "left").withColumn("cuvee", F.coalesce("cuvee", F.lit(""))).drop("own", "kind")
 
 
 def listing_items(listing: DataFrame, book: DataFrame) -> DataFrame:
@@ -201,30 +205,34 @@ def listing_items(listing: DataFrame, book: DataFrame) -> DataFrame:
     parsed = _parsed(rows)
     counts = written(word_counts(parsed), "words")
     shelf = Shelf(book)
-    mapping = written(word_map(counts, written(surname_lexicon(counts, shelf), "surnames")), "map")
+    surnames = written(surname_lexicon(counts, shelf), "makers")
+    mapping = written(word_map(counts, surnames), "map")
     shared = shelf.shared
 
     def decide(name, title, hits):
         return [maker_spots(name, title, hits, shared.value)]
 
     made = with_decisions(parsed, mapping, ["record_id", "colour", "vintage", "ml", "pack", "gtin", "part"], decide, "maker string, own array<string>")
-    return cuvee_keys(written(made, "made"))
+    out = cuvee_keys(written(made, "made"))
+    # Whether any number is stated at all, read from two columns of the parsed table.
+    out._numbered = bool(parsed.where("gtin is not null or part is not null").limit(1).count())
+    return out
 
 
 def observation_items(observation: DataFrame) -> DataFrame:
     """(record_id, maker, cuvee, colour, vintage, bucket) per observation (obs_id, producer, cuvee, vintage, bucket)."""
     rows = observation.select(F.col("obs_id").cast("long").alias("record_id"), F.col("producer").alias("maker"), "cuvee", "vintage", "bucket").where("record_id is not null and producer is not null").distinct()
 
-    @F.pandas_udf("own array<string>, colour string")
-    def parse(arrays: pd.Series) -> pd.DataFrame:
+    def parse(record_id, maker, cuvees, year, bucket):
         out = []
-        for a in arrays.tolist():
-            ws = [x for w in (a if a is not None else []) for x in tokens(w) if x.isalpha()]
+        for a in cuvees:
+            ws = [x for w in a or [] for x in tokens(w) if x.isalpha()]
             out.append((sorted({w for w in ws if len(w) > 1 and w not in _NO_CUVEE}), colour(ws)))
-        return pd.DataFrame(out, columns=["own", "colour"])
+        return record_id, maker, *zip(*out), year, bucket
 
     year = F.when(F.col("vintage").isNull(), 0).when(F.col("vintage") < 50, F.col("vintage") + 2000).when(F.col("vintage") < 100, F.col("vintage") + 1900).otherwise(F.col("vintage"))
-    read = rows.withColumn("p", parse("cuvee")).select("record_id", "maker", F.col("p.own").alias("own"), F.col("p.colour").alias("colour"), year.cast("int").alias("vintage"), F.coalesce("bucket", F.lit("")).alias("bucket"))
+    plain = rows.select("record_id", "maker", "cuvee", year.cast("int").alias("vintage"), F.coalesce("bucket", F.lit("")).alias("bucket"))
+    read = map_columns(plain, "record_id bigint, maker string, own array<string>, colour string, vintage int, bucket string", parse)
     return cuvee_keys(written(read, "read"))
 
 
@@ -266,13 +274,11 @@ def item_groups(items: DataFrame, parts: list[str]) -> DataFrame:
     whole = (F.col("maker") != "") & (F.col("cuvee") != "")
     key = F.when(whole, F.xxhash64(*parts)).otherwise(F.xxhash64(F.lit("alone"), F.col("record_id")))
     keyed = items.withColumn("key", key)
-    if "gtin" not in items.columns:
+    if "gtin" not in items.columns or not getattr(items, "_numbered", True):
         return keyed.select("record_id", F.col("key").alias("item"))
     numbers = F.explode(F.array_compact(F.array(F.concat(F.lit("g"), "gtin"), F.when(F.col("maker") != "", F.concat(F.lit("p"), "maker", F.lit("|"), "part")))))
     guard = [p for p in ("colour", "vintage", "ml", "pack") if p in parts]
     marked = written(keyed.where("gtin is not null or part is not null").select(numbers.alias("number"), "key", *guard).distinct(), "numbers")
-    if not marked.limit(1).count():
-        return keyed.select("record_id", F.col("key").alias("item"))
     classes = number_classes(marked, guard)
     edges = marked.join(classes, ["number", *guard]).select(F.col("key").alias("a"), F.col("class").alias("b"))
     return keyed.join(components(edges), F.col("key") == F.col("node"), "left").select("record_id", F.coalesce("component", "key").alias("item"))
@@ -284,8 +290,11 @@ def item_pairs(groups: DataFrame) -> DataFrame:
     An item of many records is cut by a salt on one side, so that its pairs, whose
     number the result fixes, are made in as many tasks as it needs.
     """
-    large = small_side(groups.groupBy("item").count().where(F.col("count") > ITEM_ROWS).select("item", F.ceil(F.col("count") / ITEM_ROWS).cast("int").alias("cuts")))
-    salted = groups.join(large, "item", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    large = written(groups.groupBy("item").count().where(F.col("count") > ITEM_ROWS).select("item", F.ceil(F.col("count") / ITEM_ROWS).cast("int").alias("cuts")), "large")
+    if not rows_of(large):
+        a, b = groups.withColumnRenamed("record_id", "id_a"), groups.withColumnRenamed("record_id", "id_b")
+        return a.join(b, "item").where("id_a < id_b").select("id_a", "id_b")
+    salted = groups.join(small_side(large), "item", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     a = salted.select("item", F.pmod(F.xxhash64("record_id"), F.col("cuts")).cast("int").alias("salt"), F.col("record_id").alias("id_a"))
     b = salted.select("item", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.col("record_id").alias("id_b"))
     return a.join(b, ["item", "salt"]).where("id_a < id_b").select("id_a", "id_b")

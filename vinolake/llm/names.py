@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vinolake.functions.glyphs import skeleton
-from vinolake.operators.scale import small_side, spread, written
+from vinolake.operators.scale import BROADCAST_ROWS, fits, map_columns, small_side, spread, written
 
 #: Entries shorter than this only stand for themselves; shorter than MIN_LENGTH, they and their
 #: misspellings count with evidence of their own; from FAR_LENGTH on, two edits are looked for.
@@ -48,6 +48,8 @@ FORMS = {"dom": "domaine", "dne": "domaine", "cht": "chateau", "chat": "chateau"
 # End of fixed values.
 
 _UNIT = re.compile(r"\d[\d.,]*\s*(?:[xX]\s*\d[\d.,]*\s*)?(?:%|°|ml|cl|dl|hl|ha|ex|fl\.?\s*oz|fl|oz|bt|mois|litres?|liters?|ltr|centilitres?|m|l)?(?![a-z])\.?")
+_OLD_VINES = re.compile(r"\bv\.\s?v\.?(?![a-z])")
+_NO_YEAR = re.compile(r"\bs\.\s?a\.?(?![a-z])|\bmill\.")
 _TOKEN = re.compile(r"[a-z]+(?:['’][a-z]+)?|[|\"“”«»‘’']|,|(?<=\s)[-–—/](?=\s)|\x00")
 
 
@@ -60,8 +62,10 @@ def skeleton_tokens(s: str) -> list[str]:
     """``tokens`` of a text that is a skeleton already."""
     if not s:
         return []
-    s = re.sub(r"\bv\.\s?v\.?(?![a-z])", " vv ", s)
-    s = re.sub(r"\bs\.\s?a\.?(?![a-z])|\bmill\.", "\x00", s)
+    if "v." in s:
+        s = _OLD_VINES.sub(" vv ", s)
+    if "s." in s or "mill." in s:
+        s = _NO_YEAR.sub("\x00", s)
     s = _UNIT.sub(" \x00 ", s)
     return ["" if t in "|\"“”«»‘’'\x00" else "-" if t in "-–—/" else t for t in _TOKEN.findall(s)]
 
@@ -144,23 +148,30 @@ def _two_edit_probes(words: DataFrame, by: list[str]) -> DataFrame:
     return thirds.unionByName(_one_edit_probes(variants, [*by, "_w"]).select(*by, F.col("_w").alias("word"), "len", "part", "seg"))
 
 
-def segment_join(words: DataFrame, lexicon: DataFrame, k: int = 1, by: list[str] = []) -> DataFrame:
+def segment_join(words: DataFrame, lexicon: DataFrame, k: int = 1, by: list[str] = [], of: DataFrame | None = None) -> DataFrame:
     """Distinct (by..., word, entry, distance) of every word within ``k`` edits (1 or 2) of a lexicon entry, both columns named word.
 
     A transposition counts as one edit. Words are cut into k + 1 segments and
     everything up to the verification runs inside the JVM; a transposition, which can
     spoil two segments, has probes of its own. ``by`` are columns that must be equal
     (for lexicons of their own). Nulls match nothing; words of one letter only
-    match themselves. Every pair within ``k`` edits is found: no caps.
+    match themselves. Every pair within ``k`` edits is found: no caps. ``of`` is a
+    table of known size that has at least the rows of the lexicon.
     """
     if k not in (1, 2):
         raise ValueError("one or two edits")
     left = words.select(*by, "word").where("word is not null and word <> ''").distinct()
     right = lexicon.select(*by, "word").where("word is not null and word <> ''").distinct()
     index, probes = (_one_edit_index(right, by), _one_edit_probes(left, by)) if k == 1 else (_two_edit_index(right, by), _two_edit_probes(left, by))
-    pairs = probes.join(small_side(index), [*by, "len", "part", "seg"]).select(*by, "word", "entry").distinct()
+    # An entry has three index rows for one edit and six for two.
+    pairs = probes.join(small_side(index, BROADCAST_ROWS // (1 if of is None else 3 * k), of=of), [*by, "len", "part", "seg"]).select(*by, "word", "entry").distinct()
     # A banded distance in the JVM discards nearly all candidates; what remains, transpositions among it, is verified exactly.
-    near = pairs.where(F.levenshtein("word", "entry", 2 * k) >= 0)
+    near = pairs.withColumn("_l", F.levenshtein("word", "entry", 2 * k)).where("_l >= 0")
+    if k == 1:
+        swap = F.exists(F.expr("sequence(1, length(word) - 1)"), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.lit(1)), F.substring("word", i, F.lit(1)), F.substring("word", i + 2, F.length("word"))) == F.col("entry"))
+        d = F.when(F.col("_l") < 2, F.col("_l")).when((F.length("word") == F.length("entry")) & (F.length("word") > 1), F.when(swap, 1))
+        return near.select(*by, "word", "entry", d.cast("int").alias("distance")).where("distance is not null")
+    near = near.drop("_l")
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -170,7 +181,7 @@ def segment_join(words: DataFrame, lexicon: DataFrame, k: int = 1, by: list[str]
 
 
 def tokenized(records: DataFrame) -> DataFrame:
-    """(source, record_id, name, title) with both texts as arrays of tokens; one row per row, written once.
+    """(source, record_id, name, title) with both texts as tokens with a space between; one row per row, written once.
 
     Repeated rows stay (a shuffle of all texts would cost more than to parse
     them again); what is decided for a record is merged at the end. A name equal to
@@ -178,28 +189,27 @@ def tokenized(records: DataFrame) -> DataFrame:
     """
     rows = records.select("source", "record_id", F.when(F.lower("name") == F.lower("shop"), None).otherwise(F.col("name")).alias("name"), "title").where("record_id is not null")
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"source": b["source"].astype(object), "record_id": b["record_id"], "name": [tokens(x) for x in b["name"]], "title": [tokens(x) for x in b["title"]]})
+    def parse(source, record_id, name, title):
+        return source, record_id, [" ".join(tokens(x)) for x in name], [" ".join(tokens(x)) for x in title]
 
-    return written(spread(rows).mapInPandas(run, "source string, record_id bigint, name array<string>, title array<string>"), "tokens")
+    return written(map_columns(spread(rows), "source string, record_id bigint, name string, title string", parse), "tokens")
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
     """(word, n, n_name): in how many rows a word stands, and in how many as part of the name."""
-    both = F.array_distinct(F.concat("name", "title"))
-    words = tok.select(F.explode(F.filter(both, lambda w: F.length(w) >= 2)).alias("word"), "name")
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.array_contains("name", F.col("word"))).alias("n_name"))
+    both = F.array_distinct(F.split(F.concat_ws(" ", "name", "title"), " "))
+    words = tok.select(F.explode(F.filter(both, lambda w: F.length(w) >= 2)).alias("word"), F.concat(F.lit(" "), "name", F.lit(" ")).alias("name"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.contains("name", F.concat(F.lit(" "), "word", F.lit(" ")))).alias("n_name"))
 
 
-def weighed(found: DataFrame, counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def weighed(found: DataFrame, counts: DataFrame, lexicon: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``found`` (word, entry, distance) with n, n_name, the entry's n_entry and whether the word is an entry itself; other entries drop out.
 
     Entries are looked up as an outer side: one may occur in the corpus only misspelt.
     """
     entries = lexicon.select(F.col("word").alias("entry")).distinct()
     weight = entries.join(counts.select(F.col("word").alias("entry"), F.col("n").alias("n_entry")), "entry", "left")
-    near = found.join(counts, "word").join(small_side(weight), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry"))), "word", "left")
+    near = found.join(counts, "word").join(small_side(weight, of=of), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry")), of=of), "word", "left")
     return near.where((F.col("distance") == 0) | F.col("is_entry").isNull()).withColumn("n_entry", F.coalesce("n_entry", F.lit(0)))
 
 
@@ -208,12 +218,12 @@ def word_map(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     A word that is no entry is a misspelling only if it is rare beside the
     entry; of several entries the nearest, most frequent one is taken. Entries
-    shorter than MIN_LENGTH only stand for themselves.
+    shorter than MIN_LENGTH only stand for themselves. ``lexicon`` is a written table.
     """
     long = lexicon.where(F.length("word") >= MIN_LENGTH)
-    found = segment_join(counts.where(F.length("word") >= MIN_LENGTH - 1), long)
+    found = segment_join(counts.where(F.length("word") >= MIN_LENGTH - 1), long, of=lexicon)
     rare = (F.col("n") <= RARE) | (F.col("n") <= RARE_SHARE * F.col("n_entry"))
-    good = weighed(found, counts, long).where((F.col("distance") == 0) | rare)
+    good = weighed(found, counts, long, lexicon).where((F.col("distance") == 0) | rare)
     best = good.groupBy("word").agg(F.min(F.struct(F.col("distance"), -F.col("n_entry"), F.col("entry"))).alias("b"))
     short = lexicon.where(F.length("word") < MIN_LENGTH).select("word", F.col("word").alias("entry"), F.lit(0).alias("distance")).distinct()
     return best.select("word", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance")).join(short.select("word"), "word", "left_anti").unionByName(short)
@@ -230,11 +240,11 @@ def near_words(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     is not rare beside the entry or the likeness alone says little (short entries, two edits).
     """
     near = lexicon.where(F.length("word") >= NEAR_LENGTH)
-    one = written(weighed(segment_join(counts.where(F.length("word") >= NEAR_LENGTH - 1), near), counts, near), "near")
+    one = written(weighed(segment_join(counts.where(F.length("word") >= NEAR_LENGTH - 1), near, of=lexicon), counts, near, lexicon), "near")
     rest = counts.where(F.length("word") >= FAR_LENGTH - 2).join(one.select("word"), "word", "left_anti")
     far = lexicon.where(F.length("word") >= FAR_LENGTH)
     # At two edits a word that stands in names again and again is another maker's, and so is one within one edit of such a word.
-    two = written(weighed(segment_join(rest.where(F.col("n") <= RARE), far, 2).where("distance = 2"), counts, far), "far")
+    two = written(weighed(segment_join(rest.where(F.col("n") <= RARE), far, 2, of=lexicon).where("distance = 2"), counts, far, lexicon), "far")
     others = segment_join(two.select("word"), counts.where((F.col("n_name") > RARE) & (F.length("word") >= FAR_LENGTH - 2))).select("word").distinct()
     two = two.join(others, "word", "left_anti")
     often = (F.col("distance") > 0) & ((F.col("n") > RARE) & (F.col("n") > RARE_SHARE * F.col("n_entry")) | (F.length("entry") < MIN_LENGTH) | (F.col("distance") > 1))
@@ -254,43 +264,37 @@ def with_decisions(tok: DataFrame, mapping: DataFrame, keep: list[str], decide,
     title; a word may have several entries in ``mapping``, and behind is 0 where it has no such
     column. A map of bounded size goes to the workers; a larger one is joined on the words.
     """
-    if "behind" not in mapping.columns:
-        mapping = mapping.withColumn("behind", F.lit(0))
     schema = T.StructType([*[tok.schema[c] for c in keep], *T.StructType.fromDDL(columns).fields])
-    few = mapping.limit(MAP_ROWS + 1).count() <= MAP_ROWS
+    few = fits(mapping, MAP_ROWS)
     if few:
         entries: dict[str, list[tuple[str, int, int]]] = {}
         for r in mapping.toLocalIterator():
-            entries.setdefault(r.word, []).append((r.entry, r.distance, r.behind))
+            entries.setdefault(r.word, []).append((r.entry, r.distance, r.behind if "behind" in mapping.columns else 0))
         known = tok.sparkSession.sparkContext.broadcast(entries)
     else:
-        parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("name").alias("ws")), F.struct(F.lit(1).alias("field"), F.col("title").alias("ws"))))
+        parts = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.split("name", " ").alias("ws")), F.struct(F.lit(1).alias("field"), F.split("title", " ").alias("ws"))))
         # Equal texts have equal hits: a hash of the texts is the key, so repeated texts are joined once.
         keyed = tok.withColumn("_h", F.xxhash64("name", "title"))
+        mapping = mapping if "behind" in mapping.columns else mapping.withColumn("behind", F.lit(0))
         words = keyed.select("_h", parts.alias("p")).select("_h", "p.field", F.posexplode("p.ws").alias("pos", "word")).distinct()
         hits = words.join(mapping, "word").groupBy("_h").agg(F.collect_list(F.struct("field", "pos", "entry", "distance", "behind")).alias("hits"))
         tok = keyed.join(hits, "_h", "left").drop("_h").withColumn("hits", F.coalesce("hits", F.array().cast(HIT)))
 
-    def run(batches):
+    def run(name, title, *rest):
+        kept, more = rest[: len(keep)], rest[len(keep) :]
         m = known.value if few else {}
-        for b in batches:
-            rows: list[tuple] = []
-            own, more = [b[c].tolist() for c in keep], [b[c].tolist() for c in extra]
-            given = None if few else b["hits"].tolist()
-            for k, (n, t) in enumerate(zip(b["name"].tolist(), b["title"].tolist())):
-                if few:
-                    hits = [(f, at, *x) for f, ws in ((0, n), (1, t)) for at, w in enumerate(ws) if w in m for x in m[w]]
-                else:
-                    hits = [(h["field"], h["pos"], h["entry"], h["distance"], h["behind"]) for h in given[k]]
-                for r in decide(n, t, hits, *[c[k] for c in more]):
-                    rows.append((*[c[k] for c in own], *r))
-            yield pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype=_DTYPES.get(f.dataType.simpleString(), object)) for k, f in enumerate(schema)})
+        rows: list[tuple] = []
+        for k, (n, t) in enumerate(zip(name, title)):
+            n, t = n.split(" ") if n else [], t.split(" ") if t else []
+            if few:
+                hits = [(f, at, *x) for f, ws in ((0, n), (1, t)) for at, w in enumerate(ws) if w in m for x in m[w]]
+            else:
+                hits = [tuple(h.values()) for h in more[-1][k]]
+            for r in decide(n, t, hits, *[c[k] for c in more[: len(extra)]]):
+                rows.append((*[c[k] for c in kept], *r))
+        return zip(*rows) if rows else [[] for _ in schema]
 
-    need = list(dict.fromkeys([*keep, "name", "title", *extra, *([] if few else ["hits"])]))
-    return tok.select(*need).mapInPandas(run, schema)
-
-
-_DTYPES = {"bigint": "int64", "int": "int32"}
+    return map_columns(tok.select("name", "title", *keep, *extra, *([] if few else ["hits"])), schema, run)
 
 
 class Book:
@@ -483,6 +487,7 @@ class Shelf:
         if len(listed) <= BOOK_ROWS:
             self.book = Book([(r.producer_id, r.name) for r in listed])
             self.lexicon = spark.createDataFrame([(w,) for w in self.book.surnames()], "word string")
+            self.lexicon._vinolake_size = (len(self.book.by), sum(len(w) + 16 for w in self.book.by))
             self.shared = spark.sparkContext.broadcast(self.book)
             return
 
@@ -504,7 +509,7 @@ class Shelf:
 
         self.parts = written(rows.select(F.col("producer_id").cast("long").alias("producer_id"), "name").mapInPandas(parts, "producer_id bigint, name string, first string, word string"), "book")
         whole = sorted(r.first for r in self.parts.where("first <> ''").select("first").distinct().collect())
-        self.lexicon = self.parts.select("word").distinct()
+        self.lexicon = written(self.parts.select("word").distinct(), "surnames")
         self.shared = spark.sparkContext.broadcast(Book([], firsts, whole))
 
     def known(self) -> Book:
@@ -514,7 +519,7 @@ class Shelf:
     def with_estates(self, tok: DataFrame, mapping: DataFrame) -> DataFrame:
         """``tok`` with estates: the (producer_id, name) of all estates whose surname a word of the row may stand for."""
         keyed = tok.withColumn("_t", F.xxhash64("name", "title"))
-        words = keyed.select("_t", F.explode(F.array_distinct(F.concat("name", "title"))).alias("word")).distinct()
+        words = keyed.select("_t", F.explode(F.split(F.concat_ws(" ", "name", "title"), " ")).alias("word")).distinct()
         entries = words.join(mapping.select("word", "entry"), "word").select("_t", F.col("entry").alias("word")).distinct()
         mine = entries.join(self.parts.select("word", "producer_id", F.col("name").alias("_n")), "word").groupBy("_t").agg(F.collect_set(F.struct("producer_id", F.col("_n").alias("name"))).alias("estates"))
         return keyed.join(mine, "_t", "left").drop("_t").withColumn("estates", F.coalesce("estates", F.array().cast("array<struct<producer_id:bigint,name:string>>")))
