@@ -122,7 +122,7 @@ def _parsed(listing: DataFrame) -> DataFrame:
             rows.append((" ".join(tokens(name)), " ".join(ws), colour(ws), vintage(s), int(round(ml / 5) * 5), pack_size(s), gtin(s) if numbered else None, part_number(s) if numbered else None))
         return record_id, *zip(*rows)
 
-    return written(map_columns(spread(listing), "record_id bigint, name string, title string, colour string, vintage int, ml int, pack int, gtin string, part string", parse), "items")
+    return written(map_columns(spread(listing, 1), "record_id bigint, name string, title string, colour string, vintage int, ml int, pack int, gtin string, part string", parse), "items")
 
 
 def surname_lexicon(counts: DataFrame, shelf: Shelf) -> DataFrame:
@@ -168,7 +168,7 @@ def cuvee_keys(rows: DataFrame) -> DataFrame:
     are left out, but for titles that have no other word. Everything is decided on the distinct (maker, own), and words are counted over all rows.
     """
     keyed = rows.withColumn("kind", F.when((F.col("maker") != "") & (F.size("own") > 0), F.xxhash64("maker", "own")))
-    kinds = written(keyed.where("kind is not null").groupBy("kind").agg(F.any_value("maker").alias("maker"), F.any_value("own").alias("own"), F.count("*").alias("n")), "kinds")
+    kinds = written(keyed.where("kind is not null").groupBy("kind", "maker", "own").agg(F.count("*").alias("n")), "kinds")
     each = kinds.select("kind", "maker", F.explode("own").alias("word"), "n")
     words = written(each.groupBy("maker", "word").agg(F.sum("n").alias("n")), "cuvees")
     makers = words.agg(F.count_distinct("maker")).first()[0]
@@ -221,7 +221,7 @@ def listing_items(listing: DataFrame, book: DataFrame) -> DataFrame:
 
 def observation_items(observation: DataFrame) -> DataFrame:
     """(record_id, maker, cuvee, colour, vintage, bucket) per observation (obs_id, producer, cuvee, vintage, bucket)."""
-    rows = observation.select(F.col("obs_id").cast("long").alias("record_id"), F.col("producer").alias("maker"), "cuvee", "vintage", "bucket").where("record_id is not null and producer is not null").distinct()
+    rows = observation.select(F.col("obs_id").cast("long").alias("record_id"), F.col("producer").alias("maker"), "cuvee", "vintage", "bucket").where("record_id is not null and producer is not null")
 
     def parse(record_id, maker, cuvees, year, bucket):
         out = []

@@ -192,7 +192,7 @@ def tokenized(records: DataFrame) -> DataFrame:
     def parse(source, record_id, name, title):
         return source, record_id, [" ".join(tokens(x)) for x in name], [" ".join(tokens(x)) for x in title]
 
-    return written(map_columns(spread(rows), "source string, record_id bigint, name string, title string", parse), "tokens")
+    return written(map_columns(spread(rows, 1), "source string, record_id bigint, name string, title string", parse), "tokens")
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
