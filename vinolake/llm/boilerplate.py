@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinolake.operators.scale import small_side, spread, written
+from vinolake.operators.scale import fits, map_columns, small_side, spread, written
 
 OTHER, ITEM, DATED, PRICE = 0, 1, 2, 3
 #: A line in this share of a shop's pages is frame.
@@ -37,6 +37,7 @@ CUT = 0.15
 
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_LETTERS = re.compile(r"[^\W\d_][\W\d_]*[^\W\d_]")
 _MONEY = r"(?:[€$£]\s?\d{1,4}(?:[.,]\d{2})?|\d{1,4}(?:[.,]\d{2})?\s?(?:€|eur\b|\$|£))"
 _PRICE = re.compile(rf"^{_MONEY}$", re.I)
 _ITEM = re.compile(rf"^\D{{3,80}}?.{{0,12}}\s{_MONEY}$", re.I)
@@ -85,15 +86,79 @@ class _Lines(HTMLParser):
                     self.linked[at] = self.linked.get(at, 0) + len(part.strip())
 
 
+class _Events(HTMLParser):
+    """The events of one line: strings, and how many silent elements and links open (1) or close (-1) between them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.events: list[tuple[str, object]] = []
+        self.tags = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if tag in _SILENT or tag == "a":
+            self.events.append(("link" if tag == "a" else "silent", 1))
+
+    def handle_startendtag(self, tag, attrs):
+        self.tags += 1
+
+    def handle_endtag(self, tag):
+        self.tags += 1
+        if tag in _SILENT or tag == "a":
+            self.events.append(("link" if tag == "a" else "silent", -1))
+
+    def handle_data(self, data):
+        if data.strip():
+            self.events.append(("text", data))
+
+
+@lru_cache(maxsize=100_000)
+def _line_events(line: str) -> tuple[int, tuple]:
+    """(tags, events) of a line; the lines of a shop's frame are the same on all its pages, so most are parsed once."""
+    if "<" not in line and "&" not in line:
+        return 0, (("text", line),) if line.strip() else ()
+    parser = _Events()
+    parser.feed(line)
+    parser.close()
+    return parser.tags, tuple(parser.events)
+
+
+#: What makes events depend on other lines: comments, declarations, and elements whose content is no markup.
+_SPANNING = re.compile(r"<!--|<!\[|<\?|<(script|style|textarea|title|noscript|iframe|xmp|plaintext)\b(?![^\n]*</\1\s*>)", re.I)
+
+
+def _stands_alone(lines: list[str], body: str) -> bool:
+    """Whether every tag of the page ends on the line it begins on, so that lines can be parsed one by one."""
+    return not _SPANNING.search(body) and all("<" not in x or x.rfind("<") < x.rfind(">") and x.count('"') % 2 == 0 for x in lines)
+
+
 def page_lines(body: str) -> list[tuple[int, str, int, int]]:
     """(line number, text, tags, characters inside links) of the lines that carry text; lines split at line feeds."""
     body = body.replace("\r", " ")
+    lines = body.split("\n")
     if "<" not in body:
-        return [(k, t, 0, 0) for k, x in enumerate(body.split("\n")) if (t := _SPACE.sub(" ", x).strip())]
+        return [(k, t, 0, 0) for k, x in enumerate(lines) if (t := _SPACE.sub(" ", x).strip())]
+    out = []
+    if _stands_alone(lines, body):
+        silent = link = 0
+        for k, line in enumerate(lines):
+            tags, events = _line_events(line)
+            said, linked = [], 0
+            for kind, what in events:
+                if kind == "silent":
+                    silent = max(0, silent + what)
+                elif kind == "link":
+                    link = max(0, link + what)
+                elif not silent:
+                    said.append(what)
+                    linked += len(what.strip()) if link else 0
+            text = _SPACE.sub(" ", " ".join(said)).strip() if said else ""
+            if text:
+                out.append((k, text, tags, min(linked, len(text))))
+        return out
     parser = _Lines()
     parser.feed(body)
     parser.close()
-    out = []
     for k in sorted(parser.text):
         text = _SPACE.sub(" ", " ".join(parser.text[k])).strip()
         if text:
@@ -112,25 +177,30 @@ def line_kind(text: str) -> int:
 def line_hash(text: str) -> int:
     """Hash of a line with its numbers masked; 0 for a line of numbers and signs only."""
     masked = _DIGITS.sub("#", text.lower())
-    if sum(c.isalpha() for c in masked) < 2:
+    if not _LETTERS.search(masked):
         return 0
     return xxhash.xxh64_intdigest(masked) - (1 << 63)
 
 
+@lru_cache(maxsize=100_000)
+def _features(text: str) -> tuple[int, int, int, int, int, int]:
+    """(length, kind, words, hash, hash of a breadcrumb's first segment or 0, whether it is short enough for a fact) of a line."""
+    words = len(text.split())
+    return len(text), line_kind(text), words, line_hash(text), line_hash(_CRUMB.split(text)[0]) if _CRUMB.search(text) else 0, int(words <= FACT_WORDS and not _SHARE.search(text))
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
     """Per page the parallel arrays of its text lines, and crumb: the hash of a breadcrumb's first segment or 0."""
-    schema = "page_id bigint, shop string, n array<int>, len array<int>, tags array<int>, linked array<int>, kind array<int>, words array<int>, hash array<bigint>, crumb array<bigint>, fact array<int>"
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for page, shop, body in zip(b["page_id"], b["shop"], b["body"]):
-                ls = page_lines(body)
-                crumbs = [line_hash(_CRUMB.split(t)[0]) if _CRUMB.search(t) else 0 for _, t, _, _ in ls]
-                rows.append((page, shop, [x[0] for x in ls], [len(x[1]) for x in ls], [x[2] for x in ls], [x[3] for x in ls], [line_kind(x[1]) for x in ls], [len(x[1].split()) for x in ls], [line_hash(x[1]) for x in ls], crumbs, [int(len(x[1].split()) <= FACT_WORDS and not _SHARE.search(x[1])) for x in ls]))
-            yield pd.DataFrame(rows, columns=["page_id", "shop", "n", "len", "tags", "linked", "kind", "words", "hash", "crumb", "fact"])
+    def parse(page_id, shop, bodies):
+        rows = []
+        for body in bodies:
+            ls = page_lines(body)
+            kinds = [_features(x[1]) for x in ls]
+            rows.append(([x[0] for x in ls], [f[0] for f in kinds], [x[2] for x in ls], [x[3] for x in ls], *([f[c] for f in kinds] for c in range(1, 6))))
+        return page_id, shop, *zip(*rows)
 
-    return spread(pages).mapInPandas(run, schema)
+    return map_columns(spread(pages), "page_id bigint, shop string, n array<int>, len array<int>, tags array<int>, linked array<int>, kind array<int>, words array<int>, hash array<bigint>, crumb array<bigint>, fact array<int>", parse)
 
 
 def loose_facts(lines, links, sure) -> list[int]:
@@ -281,28 +351,35 @@ def main_content(pages: DataFrame) -> DataFrame:
     parsed arrays are written to the shared folder and read three times.
     """
     parsed = written(_parsed(pages.select(F.col("page_id").cast("long"), "shop", "body").where("page_id is not null and body is not null")), "lines")
-    frames = shop_frames(parsed)
-    empty: Column = F.array().cast("array<bigint>")
-    sides = small_side(frames.select(F.col("shop").alias("_s"), "sure", "edges", "heads", "repeated"))
-    joined = parsed.join(sides, F.col("shop").eqNullSafe(F.col("_s")), "left").drop("_s")
-    for c in ("sure", "edges", "heads", "repeated"):
-        joined = joined.withColumn(c, F.coalesce(c, empty))
-
-    def run(batches):
-        cache: dict = {}
-        for b in batches:
-            ids, lines = [], []
-            for r in b.itertuples(index=False):
-                if r.shop not in cache:
-                    cache[r.shop] = tuple(set(x) for x in (r.sure, r.edges, r.heads, r.repeated))
-                bare = furniture(list(r.kind), list(r.words), list(r.hash), list(r.crumb), *cache[r.shop])
-                for k, keep in zip(r.n, content_flags(list(r.len), list(r.tags), list(r.linked), bare)):
-                    if keep:
-                        ids.append(r.page_id)
-                        lines.append(k)
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(lines, dtype="int32")})
-
-    return joined.mapInPandas(run, "page_id bigint, line_no int")
+    sides = written(shop_frames(parsed).select(F.col("shop").alias("_s"), "sure", "edges", "heads", "repeated"), "frames")
+    columns = ["page_id", "shop", "n", "len", "tags", "linked", "kind", "words", "hash", "crumb"]
+
+    def lines(columns, frame):
+        ids, numbers = [], []
+        for page_id, shop, n, length, tags, linked, kind, words, hashes, crumb, *own in zip(*columns):
+            bare = furniture(kind, words, hashes, crumb, *frame(shop, own))
+            for k, keep in zip(n, content_flags(length, tags, linked, bare)):
+                if keep:
+                    ids.append(page_id)
+                    numbers.append(k)
+        return ids, numbers
+
+    if fits(sides):
+        # Frames of bounded size go to every worker once; no page carries them.
+        known = {r._s: tuple(frozenset(x or ()) for x in r[1:]) for r in sides.collect()}
+        shared, none = pages.sparkSession.sparkContext.broadcast(known), (frozenset(),) * 4
+
+        def alone(*columns):
+            frames = shared.value
+            return lines(columns, lambda shop, own: frames.get(shop, none))
+
+        return map_columns(parsed.select(*columns), "page_id bigint, line_no int", alone)
+
+    def beside(*columns):
+        return lines(columns, lambda shop, own: tuple(frozenset(x or ()) for x in own))
+
+    joined = parsed.join(sides, F.col("shop").eqNullSafe(F.col("_s")), "left")
+    return map_columns(joined.select(*columns, "sure", "edges", "heads", "repeated"), "page_id bigint, line_no int", beside)
 
 
 def found_content(raw_pages: DataFrame) -> DataFrame:
