@@ -17,6 +17,10 @@ except ImportError:
     ahocorasick = None
 
 
+#: Letters of an alias that texts are joined on where no automaton holds all aliases.
+HEAD = 6
+
+
 def alias_matches(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, producer, alias): the longest alias of each producer contained in the folded text, shorter names inside longer ones suppressed.
 
@@ -26,7 +30,7 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, key: str = "id", text: s
     drop each other. Null and empty texts and aliases match nothing.
 
     With an alias list of bounded size every text is read once by an automaton
-    of all aliases; a larger list, or no automaton library, falls back to a containment join.
+    of all aliases; a larger list, or no automaton library, is joined on the first HEAD letters of the aliases.
     """
     keys = texts.select(F.col(key), match_key(F.col(text)).alias("_k")).where("_k <> ''")
     names = aliases.select("producer", match_key(F.col("alias")).alias("a")).where("a <> ''").distinct()
@@ -53,7 +57,10 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, key: str = "id", text: s
 
         hits = keys.mapInPandas(scan, f"{key} {dict(keys.dtypes)[key]}, a string").join(F.broadcast(names), "a")
     else:
-        hits = keys.join(small_side(names), F.contains(F.col("_k"), F.col("a"))).drop("_k")
+        # The head of an alias is a substring of every text that contains it: an equality, then the check.
+        heads = names.withColumn("_g", F.substring("a", 1, HEAD))
+        grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_k")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("_k") - i + 1)), lambda n: F.substring(F.col("_k"), i, n)))))
+        hits = keys.withColumn("_g", F.explode(grams)).join(heads, "_g").where(F.contains(F.col("_k"), F.col("a"))).drop("_k", "_g").distinct()
     best = hits.groupBy(key, "producer").agg(F.max(F.struct(F.length("a").alias("n"), F.col("a"))).alias("b")).select(key, "producer", F.col("b.a").alias("alias"))
     # Matches of one text are few (one per producer named in it), so an array per text is small.
     every = best.groupBy(key).agg(F.collect_list(F.struct("producer", "alias")).alias("_all"))

@@ -65,6 +65,43 @@ def reference_ladder(observation: DataFrame, threshold: float = 0.6) -> DataFram
     )
 
 
+def market_basis(observation: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(producer, seg, bucket, cuvee, vintage, shop, basis, confidence, price): what other shops say a wine costs, by the strongest comparison that holds.
+
+    The same wine (cuvee and vintage) at one shop or more, else the same cuvee of any
+    vintage, else the maker's line with three observations at two shops. Observations
+    are first reduced to (wine, shop, price, number), so a median is of distinct prices
+    with their frequency and a maker with a third of all rows meets itself only by its distinct wines.
+    """
+    obs = observation.where("price750 > 0 and producer is not null").select(
+        "producer", F.coalesce("seg", F.lit("")).alias("seg"), "bucket", F.array_sort(F.array_distinct("cuvee")).alias("cuvee"), F.coalesce("vintage", F.lit(-1)).alias("vintage"), "shop", "price750"
+    ).where(F.size("cuvee") > 0)
+    sets = obs.select("producer", "bucket", F.col("cuvee").alias("tokens")).distinct()
+    pairs = set_similarity_join(sets, ["producer", "bucket"], threshold).select("producer", "bucket", "set_a", "set_b")
+    like = pairs.union(pairs.select("producer", "bucket", "set_b", "set_a")).union(sets.select("producer", "bucket", "tokens", "tokens")).toDF("producer", "bucket", "cuvee", "other")
+    hits = obs.select("producer", "seg", "bucket", "cuvee", "vintage", "shop").distinct()
+    pool = obs.groupBy("producer", "bucket", F.col("cuvee").alias("other"), F.col("vintage").alias("v"), F.col("shop").alias("s"), "price750").agg(F.count("*").alias("n"))
+    wine = ["producer", "bucket", "cuvee", "vintage", "shop"]
+    seen = hits.select(*wine).distinct().join(like, ["producer", "bucket", "cuvee"]).join(pool, ["producer", "bucket", "other"]).where("s <> shop")
+    same = (F.col("v") == F.col("vintage")) & (F.col("vintage") >= 0)
+    found = seen.groupBy(*wine).agg(
+        F.percentile(F.when(same, F.col("price750")), 0.5, F.when(same, F.col("n")).otherwise(F.lit(0))).alias("p1"), F.count_distinct(F.when(same, F.col("s"))).alias("s1"),
+        F.percentile("price750", 0.5, F.col("n")).alias("p2"), F.count_distinct("s").alias("s2"),
+    )
+    lines = obs.groupBy("producer", "seg", "bucket", F.col("shop").alias("s"), "price750").agg(F.count("*").alias("n"))
+    line = ["producer", "seg", "bucket", "shop"]
+    rest = hits.select(*line).distinct().join(lines, ["producer", "seg", "bucket"]).where("s <> shop").groupBy(*line).agg(F.percentile("price750", 0.5, F.col("n")).alias("p3"), F.count_distinct("s").alias("s3"), F.sum("n").alias("n3"))
+    every = hits.join(found, wine, "left").join(rest, line, "left")
+    s1, s2 = F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0))
+    lined = (F.coalesce("n3", F.lit(0)) >= 3) & (F.coalesce("s3", F.lit(0)) >= 2)
+    return every.select(
+        "producer", "seg", "bucket", F.array_join("cuvee", " ").alias("cuvee"), "vintage", "shop",
+        F.when(s1 >= 1, "same wine").when(s2 >= 1, "same cuvee").when(lined, "same line").alias("basis"),
+        F.when(s1 >= 2, "high").when((s1 == 1) | (s2 >= 2), "medium").when((s2 == 1) | lined, "low").alias("confidence"),
+        F.round(F.when(s1 >= 1, F.col("p1")).when(s2 >= 1, F.col("p2")).when(lined, F.col("p3")), 4).alias("price"),
+    )
+
+
 def rotate(df: DataFrame, order: str, offset: Column) -> DataFrame:
     """``df`` with column turn: its place when the list sorted by ``order`` starts at ``offset`` (round robin). For small control tables."""
     n = df.count()
@@ -72,4 +109,4 @@ def rotate(df: DataFrame, order: str, offset: Column) -> DataFrame:
     return df.withColumn("turn", F.pmod(place - offset, F.lit(max(n, 1))).cast("int"))
 
 
-__all__ = ["first_per_key", "jaccard", "latest_per_key", "reference_ladder", "rotate", "upsert"]
+__all__ = ["first_per_key", "jaccard", "latest_per_key", "market_basis", "reference_ladder", "rotate", "upsert"]

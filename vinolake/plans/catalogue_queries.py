@@ -93,7 +93,7 @@ def redacted_pages(spark, sf):
 
 _ALIAS_SQL = f"""
 with a as (select distinct producer, {_sql_key('alias')} a from aliases),
-k as (select distinct listing_id, {_sql_key("coalesce(producer,'') || ' ' || title")} k from listing),
+k as (select distinct listing_id, {_sql_key("coalesce(producer,'') || ' ' || coalesce(title,'')")} k from listing),
 m as (select listing_id, producer, a, row_number() over (partition by listing_id, producer order by length(a) desc, a desc) rn from k join a on contains(k, a) where a <> ''),
 b as (select listing_id, producer, a from m where rn = 1)
 select listing_id, producer, a as alias from b where not exists (select 1 from b o where o.listing_id = b.listing_id and o.producer <> b.producer and contains(o.a, b.a))"""
@@ -101,7 +101,7 @@ select listing_id, producer, a as alias from b where not exists (select 1 from b
 
 @query(_ALIAS_SQL)
 def alias_longest(spark, sf):
-    rows = _table(spark, sf, "listing").select("listing_id", F.concat(F.coalesce("producer", F.lit("")), F.lit(" "), "title").alias("text")).distinct()
+    rows = _table(spark, sf, "listing").select("listing_id", F.concat_ws(" ", F.coalesce("producer", F.lit("")), F.coalesce("title", F.lit(""))).alias("text")).distinct()
     return alias_matches(rows, _table(spark, sf, "aliases"), "listing_id", "text")
 
 
@@ -181,25 +181,25 @@ def listing_first(spark, sf):
 
 
 @query(
-    """with a as (select producer, min(alias) as alias, count(*) as n from aliases where alias_ord = 0 group by 1), b as (select producer, min(alias) as alias, count(*) as n from aliases where alias_ord = 1 group by 1)
+    """with a as (select producer, min(alias) as alias, count(*) as n from aliases where alias_ord = 0 group by 1), b as (select producer, min(alias) as alias, count(*) as n from aliases where alias_ord > 0 group by 1)
 select coalesce(a.producer, b.producer) as producer, coalesce(b.alias, a.alias) as alias, coalesce(b.n, a.n) as n from a full outer join b on a.producer = b.producer"""
 )
 def alias_upsert(spark, sf):
     a = _table(spark, sf, "aliases")
-    part = lambda k: a.where(F.col("alias_ord") == k).groupBy("producer").agg(F.min("alias").alias("alias"), F.count("*").alias("n"))
+    part = lambda k: a.where(F.signum("alias_ord") == k).groupBy("producer").agg(F.min("alias").alias("alias"), F.count("*").alias("n"))
     return upsert(part(0), part(1), ["producer"])
 
 
 @query(
     """select product_id, coalesce(title,'') || ' ' || coalesce(vendor,'') || ' ' || coalesce(body_html,'') as text, coalesce(title,'') as title, case when try_cast(variants[1].price as double) > 0 then try_cast(variants[1].price as double) end as price,
-rtrim(s.url, '/') || '/products/' || coalesce(handle,'') as url, coalesce(variants[1].title, '') as variant_title,
+rtrim(coalesce(s.url, ''), '/') || '/products/' || coalesce(handle,'') as url, coalesce(variants[1].title, '') as variant_title,
 case when len(list_filter(variants, lambda v: v.available is not null)) > 0 then len(list_filter(variants, lambda v: v.available)) > 0 end as in_stock
-from (select distinct product_id, p.shop, title, vendor, handle, body_html, variants from shopify_product p) p join shops s on s.shop = p.shop"""
+from (select distinct product_id, p.shop, title, vendor, handle, body_html, variants from shopify_product p) p left join shops s on s.shop = p.shop"""
 )
 def shopify_listings(spark, sf):
     shops = _table(spark, sf, "shops").select("shop", F.col("url").alias("base"))
-    rows = _table(spark, sf, "shopify_product").distinct().join(small_side(shops), "shop")
-    return shopify_rows(rows, F.col("base")).drop("shop", "base")
+    rows = _table(spark, sf, "shopify_product").distinct().join(small_side(shops), "shop", "left")
+    return shopify_rows(rows, F.coalesce("base", F.lit(""))).drop("shop", "base")
 
 
 # --- coverage -----------------------------------------------------------------

@@ -35,8 +35,13 @@ def read_shopify(pages: DataFrame) -> DataFrame:
 def read_woo(pages: DataFrame) -> DataFrame:
     """Listing rows of saved bodies (shop, url, body); prices are integers in minor units, two decimals unless stated."""
     p = pages.select("shop", F.col("url").alias("page_url"), F.explode(F.from_json("body", WOO)).alias("p"))
+    return woo_rows(p)
+
+
+def woo_rows(p: DataFrame) -> DataFrame:
+    """Listing rows of products (p struct, page_url and any other columns)."""
     minor = F.coalesce("p.prices.currency_minor_unit", F.lit(2))
     return p.select(
-        "shop", F.concat_ws(" ", F.coalesce("p.name", F.lit("")), F.coalesce("p.short_description", F.lit("")), F.coalesce("p.description", F.lit(""))).alias("text"), F.coalesce("p.name", F.lit("")).alias("title"),
+        *[c for c in p.columns if c not in ("p", "page_url")], F.concat_ws(" ", F.coalesce("p.name", F.lit("")), F.coalesce("p.short_description", F.lit("")), F.coalesce("p.description", F.lit(""))).alias("text"), F.coalesce("p.name", F.lit("")).alias("title"),
         _positive(F.col("p.prices.price").try_cast("bigint") / F.pow(F.lit(10.0), minor)).alias("price"), F.coalesce("p.permalink", "page_url").alias("url"), F.lit("").alias("variant_title"), F.col("p.is_in_stock").alias("in_stock"),
     )
