@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 from http import HTTPStatus
 
@@ -139,70 +140,85 @@ def training_records(parsed: DataFrame) -> DataFrame:
     return written(counted.unionByName(known).mapInPandas(hashed, "kind string, n bigint, features array<int>"), "training")
 
 
-def train(table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, float]]:
-    """Log-likelihood ratio per bucket, and the log prior odds of an unlabelled record per source; trained over all records by EM.
+@dataclass
+class Model:
+    """Soft counts of the buckets seen, in order, for both classes, the sizes of the classes, and the log prior odds per kind of record."""
+
+    seen: np.ndarray
+    pos: np.ndarray
+    neg: np.ndarray
+    sizes: tuple[float, float]
+    odds: dict[str, float]
+
+    def ratio(self, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        """Smoothed log-likelihood ratios of counts; 0 where nothing was counted."""
+        r = np.log((pos + 0.1) / (self.sizes[0] + 10.0)) - np.log((neg + 0.1) / (self.sizes[1] + 10.0))
+        return np.where(pos + neg > 1e-6, r, 0.0)
+
+    def counts(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.seen):
+            return np.zeros(len(buckets)), np.zeros(len(buckets))
+        at = np.minimum(np.searchsorted(self.seen, buckets), len(self.seen) - 1)
+        known = self.seen[at] == buckets
+        return np.where(known, self.pos[at], 0.0), np.where(known, self.neg[at], 0.0)
+
+    def score(self, buckets) -> float:
+        return float(self.ratio(*self.counts(np.asarray(buckets))).sum()) if len(buckets) else 0.0
+
+
+def train(table: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model, trained over all records by EM.
 
     Each round is one pass in which every batch adds up its soft counts per
     bucket; only the sums per bucket leave the executors, whatever the corpus.
     """
     fixed = {"trusted": TRUSTED_ODDS, "slot": SLOT_ODDS}
     kinds = sorted(r.kind for r in table.select("kind").distinct().collect())  # the sources and two more
-    odds = {k: fixed.get(k, START_ODDS) for k in kinds}
-    at = {k: BUCKETS + i for i, k in enumerate(kinds)}
-    pos, neg = np.zeros(BUCKETS + len(kinds)), np.zeros(BUCKETS + len(kinds))
+    class_of = {k: -1 - i for i, k in enumerate(kinds)}  # the sizes of the kinds are summed as buckets of their own
+    none = np.zeros(0)
+    model = Model(none.astype(np.int64), none, none, (0.0, 0.0), {k: fixed.get(k, START_ODDS) for k in kinds})
     for r in range(rounds):
-        state = table.sparkSession.sparkContext.broadcast((pos, neg, odds))
+        state = table.sparkSession.sparkContext.broadcast(model)
 
         def sums(batches, state=state, r=r):
-            pos, neg, odds = state.value
-            w = _weights(pos, neg)
-            new = np.zeros_like(pos), np.zeros_like(neg)
+            m = state.value
             for b in batches:
                 b = b[b["features"].map(len) > 0]
                 if not len(b):
                     continue
                 flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["features"]])
                 size = b["features"].map(len).to_numpy()
-                prior, n = b["kind"].map(odds).to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                score = np.add.reduceat(w[flat], starts) + prior
+                prior, n = b["kind"].map(m.odds).to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
+                pos, neg = m.counts(flat)
                 if r == 1:
                     # Compared with the other records' counts: the words of a rare error are not held against it because it was first taken for content.
                     before = n / (1.0 + np.exp(-prior))
-                    score = np.add.reduceat(_weights(pos, neg, pos[flat] - np.repeat(before, size), neg[flat] - np.repeat(n - before, size)), starts) + prior
+                    pos, neg = np.maximum(pos - np.repeat(before, size), 0.0), np.maximum(neg - np.repeat(n - before, size), 0.0)
+                score = np.add.reduceat(m.ratio(pos, neg), np.concatenate([[0], np.cumsum(size)[:-1]])) + prior
                 q = 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30)))
-                for total, share in zip(new, (n * q, n * (1 - q))):
-                    total += np.bincount(flat, weights=np.repeat(share, size), minlength=len(total))
-                    total += np.bincount(b["kind"].map(at).to_numpy(), weights=share, minlength=len(total))
-            k = np.nonzero(new[0] + new[1])[0]
-            yield pd.DataFrame({"bucket": k, "pos": new[0][k], "neg": new[1][k]})
-
-        total = table.mapInPandas(sums, "bucket bigint, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
-        pos, neg = np.zeros(BUCKETS + len(kinds)), np.zeros(BUCKETS + len(kinds))
-        pos[total["bucket"]], neg[total["bucket"]] = total["pos"], total["neg"]
-        if r:
-            odds = {k: fixed.get(k, float(np.log((pos[x] + 0.5) / (neg[x] + 0.5)))) for k, x in at.items()}
-    return _weights(pos, neg)[:BUCKETS], odds
-
+                buckets, at = np.unique(np.concatenate([flat, b["kind"].map(class_of).to_numpy()]), return_inverse=True)
+                sums = [np.bincount(at, weights=np.concatenate([np.repeat(share, size), share])) for share in (n * q, n * (1 - q))]
+                yield pd.DataFrame({"bucket": buckets, "pos": sums[0], "neg": sums[1]})
 
-def _weights(pos: np.ndarray, neg: np.ndarray, p: np.ndarray | None = None, n: np.ndarray | None = None) -> np.ndarray:
-    """Smoothed log-likelihood ratios of the counts ``p`` and ``n`` (else of every bucket) in the classes whose sizes follow the buckets; 0 where nothing was counted."""
-    p, n = (pos, neg) if p is None else (np.maximum(p, 0.0), np.maximum(n, 0.0))
-    ratio = np.log((p + 0.1) / (pos[BUCKETS:].sum() + 10.0)) - np.log((n + 0.1) / (neg[BUCKETS:].sum() + 10.0))
-    return np.where(p + n > 1e-6, ratio, 0.0)
+        total = table.mapInPandas(sums, "bucket bigint, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas().sort_values("bucket")
+        state.destroy()
+        classes, words = total[total["bucket"] < 0].set_index("bucket"), total[total["bucket"] >= 0]
+        odds = {k: fixed.get(k, float(np.log((classes["pos"].get(x, 0.0) + 0.5) / (classes["neg"].get(x, 0.0) + 0.5)))) if r else model.odds[k] for k, x in class_of.items()}
+        model = Model(words["bucket"].to_numpy(dtype=np.int64), words["pos"].to_numpy(), words["neg"].to_numpy(), (float(classes["pos"].sum()), float(classes["neg"].sum())), odds)
+    return model
 
 
-def judged(parsed: DataFrame, model: tuple[np.ndarray, dict[str, float]]) -> DataFrame:
+def judged(parsed: DataFrame, model: Model) -> DataFrame:
     """(source, record_id, by) of the records to exclude: by is 'slot' or 'model'."""
     shared = parsed.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        weights, odds = shared.value
+        m = shared.value
+        odds = m.odds
 
         @lru_cache(maxsize=100_000)
         def score(p: str) -> float:
-            f = features(p)
-            return float(weights[list(f)].sum()) if f else 0.0
+            return m.score(features(p))
 
         for b in batches:
             kept = []
