@@ -51,12 +51,14 @@ def reference_ladder(observation: DataFrame, threshold: float = 0.6) -> DataFram
     pairs = set_similarity_join(sets, ["producer", "bucket"], threshold).select("producer", "bucket", "set_a", "set_b")
     like = pairs.union(pairs.select("producer", "bucket", "set_b", "set_a")).union(sets.select("producer", "bucket", "tokens", "tokens")).toDF("producer", "bucket", "cuvee", "other")
     hits = obs.select("producer", "bucket", "cuvee", "vintage", "shop").distinct()
-    pool = obs.select("producer", "bucket", F.col("cuvee").alias("other"), F.col("vintage").alias("v"), F.col("shop").alias("s"), "price750", "obs_id")
-    seen = hits.join(like, ["producer", "bucket", "cuvee"]).join(pool, ["producer", "bucket", "other"], "left").where("s <> shop or s is null")
+    # The pool is reduced to distinct prices with their number before it is joined.
+    pool = obs.groupBy("producer", "bucket", F.col("cuvee").alias("other"), F.col("vintage").alias("v"), F.col("shop").alias("s"), "price750").agg(F.count("*").alias("n"))
+    seen = hits.join(like, ["producer", "bucket", "cuvee"]).join(pool, ["producer", "bucket", "other"]).where("s <> shop")
     same = (F.col("v") == F.col("vintage")) & (F.col("vintage") >= 0)
+    same_n = F.when(same, F.col("n")).otherwise(F.lit(0))
     found = seen.groupBy("producer", "bucket", "cuvee", "vintage", "shop").agg(
-        F.percentile(F.when(same, F.col("price750")), 0.5).alias("same_median"), F.count_distinct(F.when(same, F.col("s"))).alias("same_shops"), F.count_if(same).alias("same_n"),
-        F.percentile("price750", 0.5).alias("any_median"), F.count_distinct("s").alias("any_shops"), F.count("s").alias("any_n"),
+        F.percentile(F.when(same, F.col("price750")), 0.5, same_n).alias("same_median"), F.count_distinct(F.when(same, F.col("s"))).alias("same_shops"), F.sum(same_n).alias("same_n"),
+        F.percentile("price750", 0.5, F.col("n")).alias("any_median"), F.count_distinct("s").alias("any_shops"), F.sum("n").alias("any_n"),
     )
     full = hits.join(found, ["producer", "bucket", "cuvee", "vintage", "shop"], "left")
     return full.select(
