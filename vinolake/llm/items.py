@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vinolake.functions.glyphs import skeleton
 from vinolake.llm.names import JUNK, MIN_LENGTH, NICKNAMES, RARE, RARE_SHARE, TYPES, Book, Shelf, osa_within, segment_join, skeleton_tokens, tokens, with_decisions, word_counts, word_map
 from vinolake.operators.components import components
-from vinolake.operators.scale import map_columns, rows_of, small_side, spread, written
+from vinolake.operators.scale import BROADCAST_BYTES, BROADCAST_ROWS, map_columns, rows_of, small_side, spread, written
 from vinolake.operators.units import BOX_WORDS, COUNT_WORDS, skeleton_ml
 
 # Colour words; words of titles that name neither maker nor cuvee.
@@ -187,7 +187,7 @@ def cuvee_keys(rows: DataFrame) -> DataFrame:
     best = written(better.groupBy("maker", "word").agg(F.max(F.struct("n_entry", "entry")).alias("b")).select("maker", "word", F.col("b.entry").alias("entry")), "spellings")
     # a neighbour that is itself a misspelling leads on to what it stands for
     onward = best.select("maker", F.col("word").alias("entry"), F.col("entry").alias("_next"))
-    best = written(best.join(small_side(onward, of=best), ["maker", "entry"], "left").select("maker", "word", F.coalesce("_next", "entry").alias("entry")), "spelt")
+    best = written(best.join(small_side(onward, BROADCAST_ROWS, BROADCAST_BYTES, best), ["maker", "entry"], "left").select("maker", "word", F.coalesce("_next", "entry").alias("entry")), "spelt")
     told = each.join(small_side(noise), "word", "left_anti").join(small_side(best), ["maker", "word"], "left").select("kind", F.coalesce("entry", "word").alias("word"))
     keys = told.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("cuvee"))
     named = written(kinds.select("kind", "own").join(keys, "kind", "left").select("kind", F.coalesce("cuvee", F.array_join("own", " ")).alias("cuvee")), "keys")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vinolake.functions.glyphs import skeleton
-from vinolake.operators.scale import BROADCAST_ROWS, fits, map_columns, small_side, spread, written
+from vinolake.operators.scale import BROADCAST_BYTES, BROADCAST_ROWS, fits, map_columns, small_side, spread, written
 
 #: Entries shorter than this only stand for themselves; shorter than MIN_LENGTH, they and their
 #: misspellings count with evidence of their own; from FAR_LENGTH on, two edits are looked for.
@@ -164,7 +164,7 @@ def segment_join(words: DataFrame, lexicon: DataFrame, k: int = 1, by: list[str]
     right = lexicon.select(*by, "word").where("word is not null and word <> ''").distinct()
     index, probes = (_one_edit_index(right, by), _one_edit_probes(left, by)) if k == 1 else (_two_edit_index(right, by), _two_edit_probes(left, by))
     # An entry has three index rows for one edit and six for two.
-    pairs = probes.join(small_side(index, BROADCAST_ROWS // (1 if of is None else 3 * k), of=of), [*by, "len", "part", "seg"]).select(*by, "word", "entry").distinct()
+    pairs = probes.join(small_side(index, BROADCAST_ROWS // (1 if of is None else 3 * k), BROADCAST_BYTES, of), [*by, "len", "part", "seg"]).select(*by, "word", "entry").distinct()
     # A banded distance in the JVM discards nearly all candidates; what remains, transpositions among it, is verified exactly.
     near = pairs.withColumn("_l", F.levenshtein("word", "entry", 2 * k)).where("_l >= 0")
     if k == 1:
@@ -209,7 +209,7 @@ def weighed(found: DataFrame, counts: DataFrame, lexicon: DataFrame, of: DataFra
     """
     entries = lexicon.select(F.col("word").alias("entry")).distinct()
     weight = entries.join(counts.select(F.col("word").alias("entry"), F.col("n").alias("n_entry")), "entry", "left")
-    near = found.join(counts, "word").join(small_side(weight, of=of), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry")), of=of), "word", "left")
+    near = found.join(counts, "word").join(small_side(weight, BROADCAST_ROWS, BROADCAST_BYTES, of), "entry").join(small_side(entries.select(F.col("entry").alias("word"), F.lit(True).alias("is_entry")), BROADCAST_ROWS, BROADCAST_BYTES, of), "word", "left")
     return near.where((F.col("distance") == 0) | F.col("is_entry").isNull()).withColumn("n_entry", F.coalesce("n_entry", F.lit(0)))
 
 
