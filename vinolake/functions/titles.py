@@ -79,24 +79,36 @@ def name_words(name: Column) -> Column:
     return F.filter(F.split(F.replace(F.coalesce(name, F.lit("")), F.lit("/"), F.lit(" ")), r"\s+"), lambda w: F.length(w) > 0)
 
 
+def cuvee_words_of(folded: Column, phrases: Column) -> Column:
+    """``cuvee_words`` of a folded title and folded phrases."""
+    words = F.regexp_extract_all(without_phrases(folded, phrases), F.lit("[a-z]{2,}"), F.lit(0))
+    return F.array_sort(F.array_except(words, F.array(*[F.lit(w) for w in NO_CUVEE_WORDS])))
+
+
 def cuvee_words(title: Column, producer: Column, aliases: Column, line: Column) -> Column:
     """The sorted words of a title that are left without the maker's names and its line, and without words that name no wine."""
-    phrases = F.transform(F.concat(aliases, name_words(producer), name_words(line)), lambda p: fold(p))
-    words = F.regexp_extract_all(without_phrases(fold(title), phrases), F.lit("[a-z]{2,}"), F.lit(0))
-    return F.array_sort(F.array_except(words, F.array(*[F.lit(w) for w in NO_CUVEE_WORDS])))
+    return cuvee_words_of(fold(title), F.transform(F.concat(aliases, name_words(producer), name_words(line)), lambda p: fold(p)))
 
 
-def maker_line(title: Column, producer: Column, aliases: Column) -> Column:
-    """Which line of a maker a title belongs to: the words of the name phrase that ends in the maker's first-standing alias, generic ones left out; the folded name if none stand."""
-    folded = fold(title)
-    names = F.filter(F.transform(F.when(F.size(aliases) > 0, aliases).otherwise(F.array(producer)), lambda a: fold(a)), lambda a: F.length(a) > 0)
+def maker_line_of(folded: Column, names: Column, producer: Column) -> Column:
+    """``maker_line`` of a folded title, the folded names to look for and the folded name of the maker."""
     first = F.array_min(F.filter(F.transform(names, lambda a, i: F.struct(F.position(a, folded).alias("at"), i.alias("i"), a.alias("a"))), lambda x: x["at"] > 0))
     tail = F.regexp_extract(F.substring(folded, F.lit(1), first["at"] - 1), r"([a-z\s'’-]*)$", 1)
     before = F.regexp_extract_all(tail, F.lit("[a-z]{2,}"), F.lit(0))
     last = F.slice(before, F.greatest(F.size(before) - LINE_WORDS + 1, F.lit(1)), LINE_WORDS)
     words = F.concat(last, F.regexp_extract_all(first["a"], F.lit("[a-z]{2,}"), F.lit(0)))
     kept = F.array_join(F.filter(words, lambda w: ~w.isin(NO_LINE_WORDS)), " ")
-    return F.when(first.isNotNull() & (kept != ""), kept).otherwise(fold(producer))
+    return F.when(first.isNotNull() & (kept != ""), kept).otherwise(producer)
+
+
+def names_of(producer: Column, aliases: Column) -> Column:
+    """The folded names a maker is looked for by: its aliases, else its own name."""
+    return F.filter(F.transform(F.when(F.size(aliases) > 0, aliases).otherwise(F.array(producer)), lambda a: fold(a)), lambda a: F.length(a) > 0)
+
+
+def maker_line(title: Column, producer: Column, aliases: Column) -> Column:
+    """Which line of a maker a title belongs to: the words of the name phrase that ends in the maker's first-standing alias, generic ones left out; the folded name if none stand."""
+    return maker_line_of(fold(title), names_of(producer, aliases), fold(producer))
 
 
 def label(title: Column, producer: Column) -> Column:

@@ -69,12 +69,6 @@ def _hits(spark, sf) -> DataFrame:
     return alias_longest(spark, sf).select("listing_id", "producer").join(_table(spark, sf, "listing").select("listing_id", "title"), "listing_id").distinct()
 
 
-def _with_aliases(hits: DataFrame, spark, sf) -> DataFrame:
-    a = _table(spark, sf, "aliases").where("producer is not null and alias is not null")
-    named = a.groupBy("producer").agg(F.transform(F.array_sort(F.collect_set(F.struct("alias_ord", "alias"))), lambda x: x["alias"]).alias("aliases"))
-    return hits.join(small_side(named), "producer")
-
-
 _WORDS_SQL = "list_filter(string_split_regex(replace(coalesce({}, ''), '/', ' '), '\\s+'), lambda x: length(x) > 0)"
 _LINES_SQL = f"""
 with n as (select producer, list_transform(list_sort(list_distinct(list({{'o': alias_ord, 'a': alias}}))), lambda x: x.a) aliases from aliases where producer is not null and alias is not null group by 1),
@@ -90,8 +84,15 @@ select listing_id, producer, seg, array_to_string(list_sort(list_distinct(list_f
 @query(_LINES_SQL)
 def hit_lines(spark, sf):
     """The maker's line and the cuvee words of every listing that names a watched maker."""
-    h = _with_aliases(_hits(spark, sf), spark, sf).withColumn("seg", w.maker_line(F.col("title"), F.col("producer"), F.col("aliases")))
-    return h.select("listing_id", "producer", "seg", F.array_join(w.cuvee_words(F.col("title"), F.col("producer"), F.col("aliases"), F.col("seg")), " ").alias("cuvee")).distinct()
+    a = _table(spark, sf, "aliases").where("producer is not null and alias is not null")
+    named = a.groupBy("producer").agg(F.transform(F.array_sort(F.collect_set(F.struct("alias_ord", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    # What belongs to the maker is folded once per maker, a title once per hit.
+    own = F.transform(F.concat("aliases", w.name_words(F.col("producer"))), lambda p: t.fold(p))
+    named = named.select("producer", w.names_of(F.col("producer"), F.col("aliases")).alias("names"), own.alias("own"), t.fold(F.col("producer")).alias("folded"))
+    h = _hits(spark, sf).select("listing_id", "producer", t.fold(F.col("title")).alias("f")).distinct().join(small_side(named), "producer")
+    h = h.withColumn("seg", w.maker_line_of(F.col("f"), F.col("names"), F.col("folded")))
+    cuvee = w.cuvee_words_of(F.col("f"), F.concat("own", w.name_words(F.col("seg"))))
+    return h.select("listing_id", "producer", "seg", F.array_join(cuvee, " ").alias("cuvee")).distinct()
 
 
 @query(
