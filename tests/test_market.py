@@ -1,9 +1,11 @@
 """Titles, links, market basis and the alias join without an automaton, on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from vinolake.functions import titles as w
+from vinolake.functions import text, titles as w
 from vinolake.operators import matching
 from vinolake.operators.relational import market_basis
 from vinolake.sources.links import catalogue_link_rank, outbound
@@ -74,3 +76,7 @@ def test_alias_join(spark, monkeypatch, automaton):
     aliases = spark.createDataFrame([("A", "Vorlat"), ("B", "Vorlat Ney"), ("C", "Ney"), ("D", ""), ("E", None), ("F", "Zo")], "producer string, alias string")
     got = sorted((r.id, r.producer) for r in matching.alias_matches(texts, aliases).collect())
     assert got == [(1, "B"), (2, "C"), (5, "B"), (6, "F")]
+
+
+def test_long_folds_lie_in_the_ranges_that_are_asked_first():
+    assert [a for a, _ in text.FOLD_LONG if not re.search(text._MAY_BE_LONG, a)] == []
