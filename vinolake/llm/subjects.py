@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vinolake.functions.glyphs import fold
 from vinolake.operators.scale import fits, map_columns, running, small_side, spread, written
 
-#: Documents that a worker handles at once, and different pairs it counts before it sends them on.
+#: Documents that a worker handles at once, and counts of pairs it sends on at once.
 PART, MANY_PAIRS = 512, 200_000
 #: Fewest occurrences (within the labelled documents) of a word, else it is read as the unknown word; and of a pair.
 MIN_WORD, MIN_PAIR = 3, 2
@@ -176,8 +176,14 @@ class Counts:
 
     def __init__(self, matrix: np.ndarray, lexicon: Lexicon):
         w, p = lexicon.size, len(lexicon.pairs)
+        self._of = matrix, lexicon
         self.word, self.last, self.pair, self.start = matrix[:w], matrix[w : 2 * w], matrix[2 * w : 2 * w + p], matrix[2 * w + p :]
 
+    def only(self, s: int) -> "Counts":
+        """Those of one subject."""
+        matrix, lexicon = self._of
+        return Counts(matrix[:, s : s + 1], lexicon)
+
     @staticmethod
     def rows(lexicon: Lexicon) -> int:
         return 2 * lexicon.size + len(lexicon.pairs) + len(lexicon.langs)
@@ -210,10 +216,14 @@ def log_ratios(own: Counts, outside: Counts, lexicon: Lexicon) -> Ratios:
         return np.log(follow / (n + follow)), np.log((c.pair + rest) / rest)
 
     uniform = (1.0 / np.maximum(np.bincount(lang, minlength=len(lexicon.langs)), 1))[lang][:, None]
-    behind = unigram(outside, uniform)
-    mine = unigram(own, behind)
-    (a, b), (a0, b0) = bigram(own, mine), bigram(outside, behind)
-    return Ratios(*(x.astype(np.float32) for x in (np.log(mine / behind), a - a0, b - b0)))
+    subjects = own.word.shape[1]
+    out = Ratios(*(np.empty((k, subjects), dtype=np.float32) for k in (lexicon.size, lexicon.size + len(lexicon.langs), len(lexicon.pairs))))
+    for s in range(subjects):  # one by one: the arrays in between are larger than the result
+        behind = unigram(outside.only(s), uniform)
+        mine = unigram(own.only(s), behind)
+        (a, b), (a0, b0) = bigram(own.only(s), mine), bigram(outside.only(s), behind)
+        out.word[:, s], out.context[:, s], out.pair[:, s] = np.log(mine / behind)[:, 0], (a - a0)[:, 0], (b - b0)[:, 0]
+    return out
 
 
 class SubjectModel:
@@ -314,14 +324,18 @@ def _soft_counts(table: DataFrame, lexicon: Lexicon, subjects: int, models: list
                     np.add.at(c, w + t[np.cumsum(k) - 1], v)
                     np.add.at(c, 2 * w + q, np.repeat(v, j))
                     np.add.at(c, w + p + first, v)
-        at = np.nonzero(total.any(0))[0]
-        yield pd.DataFrame({"id": at, **{c: total[k, at] for k, c in enumerate(columns)}})
-
-    sums = table.mapInPandas(run, "id bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    matrix = np.zeros((rows, len(columns)))
-    matrix[sums["id"].to_numpy()] = sums[columns].to_numpy()
-    parts = [matrix[:, k * width : (k + 1) * width] for k in range(len(models))]
-    return [x[:, -1:] - x[:, :-1] for x in parts] if outside else parts
+        some = np.nonzero(total.any(0))[0]
+        for a in range(0, len(some), MANY_PAIRS):
+            at = some[a : a + MANY_PAIRS]
+            yield pd.DataFrame({"id": at, **{c: total[k, at] for k, c in enumerate(columns)}})
+
+    sums = table.mapInPandas(run, "id bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    matrix = np.zeros((len(columns), rows))
+    at = sums["id"].to_numpy()
+    for k, c in enumerate(columns):  # without a frame of all columns in between
+        matrix[k, at] = sums[c].to_numpy()
+    parts = [matrix[k * width : (k + 1) * width] for k in range(len(models))]
+    return [(x[-1:] - x[:-1]).T if outside else x.T for x in parts]
 
 
 def _cut(points: list[tuple[float, bool]]) -> float:
